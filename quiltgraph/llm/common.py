@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiltgraph.plans.storage import materialise, work_dir  # noqa: F401
+
 #: White space of the word contracts: the blank and the code points 9 to 13.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
@@ -20,33 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the session.
+def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, spread: str) -> DataFrame:
+    """left with the columns of right for its key (a left outer join), though one key may hold most of left.
 
-    spark.checkpoint.dir names that folder on a cluster; where it is unset (tests, one machine), a
-    folder in /tmp is set as the checkpoint folder first.
+    right has each key once, with the number of rows of left that have it in ``count``; total is the number
+    of rows of left. Keys that hold more than a thousandth of left, fewer than a thousand in all, are looked
+    up by a broadcast join; their rows are spread by a hash of the column ``spread`` in the join of the rest.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = f"file:///tmp/checkpoints/{sc.applicationId}"
-            sc.setCheckpointDir(root)
-            root = sc._jsc.sc().getCheckpointDir().get()
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost
-    executor costs nothing that is already written."""
-    path = work_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    values = [c for c in right.columns if c not in (key, count)]
+    packed = right.select(key, count, F.struct(*values).alias("_value"))
+    hot = packed.where(F.col(count) * 1000 > total).select(key, F.col("_value").alias("_hot"))
+    rest = packed.where(F.col(count) * 1000 <= total).select(key, F.lit(0).alias("_salt"), F.col("_value").alias("_rest"))
+    held = left.join(F.broadcast(hot), key, "left")
+    held = held.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(65_536))).cast("int"))
+    held = held.join(rest, [key, "_salt"], "left").withColumn("_value", F.coalesce("_hot", "_rest"))
+    return held.select(*left.columns, *[F.col("_value")[c].alias(c) for c in values])
 
 
 def ascii_lower(col):

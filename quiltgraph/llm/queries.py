@@ -37,6 +37,28 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiltgraph.llm.common import work_dir
+    from quiltgraph.llm.warc import read_warc, write_warc
+
+    folder = work_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    return read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN largest IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN largest IS DISTINCT FROM page_id THEN largest END AS refers_to
+FROM p
+"""
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiltgraph.llm.topk import exact_topk
 
@@ -97,12 +119,14 @@ FROM t GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op6_warc": op6_warc,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": OP6_SQL,
     "op8_topk": OP8_SQL,
     "op10_chat": OP10_SQL,
 }

@@ -38,8 +38,8 @@ def vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, n
     kept = np.asarray(ids.is_valid()) & np.asarray(column.is_valid())
     sizes = np.diff(np.asarray(column.offsets))
     flat = column.values
-    good = np.asarray(flat.is_valid()) & np.isfinite(np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(np.float64), nan=np.inf))
-    whole = flat.fill_null(0).to_numpy(zero_copy_only=False)
+    whole = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
+    good = np.isfinite(whole)
     starts = np.asarray(column.offsets)[:-1]
     bad = np.concatenate([[0], np.cumsum(~good)])
     kept &= bad[starts + sizes] == bad[starts]

@@ -166,7 +166,7 @@ def test_topk_ties_and_odd_rows(spark):
 
     rng = random.Random(1)
     rows = [(i, [rng.choice([0.5, -0.25, 0.1]) for _ in range(3)]) for i in range(300)]
-    rows += [(i, [0.5, 0.5, 0.5]) for i in range(300, 500)] + [(600, None), (601, [1.0, None, 2.0]), (602, [float("nan")] * 3), (603, [float("inf"), 0.0, 0.0]), (None, [9.0] * 3), (640, [1.0]), (700, []), (720, [1e30, 1e30, 0.0])][:-1]
+    rows += [(i, [0.5, 0.5, 0.5]) for i in range(300, 500)] + [(600, None), (601, [1.0, None, 2.0]), (602, [float("nan")] * 3), (603, [float("inf"), 0.0, 0.0]), (None, [9.0] * 3), (640, [1.0]), (700, [])]
     rows += [(500, [0.5, 0.5, 0.5]), (500, [0.5, 0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     got = sorted(map(tuple, topk.exact_topk(df, F.pmod("vec_id", F.lit(20)) == 0, k=7).collect()))
