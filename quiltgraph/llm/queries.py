@@ -59,6 +59,12 @@ FROM p
 """
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiltgraph.llm.fingerprints import compare_with_edited
+
+    return compare_with_edited(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiltgraph.llm.topk import exact_topk
 
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op6_warc": op6_warc,
+    "op7_fingerprints": op7_fingerprints,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
