@@ -37,6 +37,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiltgraph.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiltgraph.llm.common import work_dir
     from quiltgraph.llm.warc import read_warc, write_warc
@@ -125,6 +131,7 @@ FROM t GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op3_simhash": op3_simhash,
     "op6_warc": op6_warc,
     "op7_fingerprints": op7_fingerprints,
     "op8_topk": op8_topk,
