@@ -43,6 +43,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiltgraph.llm.quality import held_out, score_quality, train_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_quality(docs, labels.where(~held_out("doc_id", 3)))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out("doc_id", 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiltgraph.llm.common import work_dir
     from quiltgraph.llm.warc import read_warc, write_warc
@@ -132,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_fingerprints": op7_fingerprints,
     "op8_topk": op8_topk,
