@@ -113,17 +113,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     spark = docs.sparkSession
     schedule = spark.createDataFrame(rows, "_mix_source string, _mix_plan array<struct<from bigint, quota bigint, slot bigint, period bigint, slots array<int>, phase int>>")
 
-    base = docs.columns
+    phase_col, slot_col, position_col = (free_name(docs, c) for c in ("mix_phase", "mix_slot", "mix_position"))
     # not null, so that the window's partitioning serves the join as well
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    held = docs.withColumn("_mix_source", name).withColumn("_mix_key", key)
+    held = docs.select(F.struct("*").alias("_row"), name.alias("_mix_source"), F.col(id_col).alias("_mix_id"), key.alias("_mix_key"))
     held = held.withColumn("_mix_part", F.conv(F.substring("_mix_key", 1, 3), 16, 10).cast("int"))
     counts = held.groupBy("_mix_source", "_mix_part").agg(F.count(F.lit(1)).alias("_mix_n"))
     before = Window.partitionBy("_mix_source").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
     # at most MAX_SOURCES * PARTS rows, with one number each
     counts = counts.withColumn("_mix_before", F.coalesce(F.sum("_mix_n").over(before), F.lit(0))).drop("_mix_n")
-    place = F.row_number().over(Window.partitionBy("_mix_source", "_mix_part").orderBy("_mix_key", F.col(id_col)))
+    place = F.row_number().over(Window.partitionBy("_mix_source", "_mix_part").orderBy("_mix_key", "_mix_id"))
     held = held.withColumn("_mix_place", place).join(counts, ["_mix_source", "_mix_part"])
     held = held.join(F.broadcast(schedule), "_mix_source")
     held = held.withColumn("_mix_rank", F.col("_mix_before") + F.col("_mix_place") - 1)
@@ -133,7 +133,5 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     e: Column = F.col("_mix_entry")
     k = F.col("_mix_block") - e["from"]
     slot = e["slot"] + F.floor(k / e["quota"]) * e["period"] + F.get(e["slots"], F.pmod(k, e["quota"]).cast("int"))
-    phase_col, slot_col, position_col = free_name(docs, "mix_phase"), free_name(docs, "mix_slot"), free_name(docs, "mix_position")
-    held = held.withColumn(slot_col, slot).withColumn(phase_col, e["phase"])
-    held = held.withColumn(position_col, F.col(slot_col) * block_docs + F.pmod("_mix_rank", F.lit(block_docs)))
-    return held.select(*base, phase_col, slot_col, position_col)
+    place = slot * block_docs + F.pmod("_mix_rank", F.lit(block_docs))
+    return held.select("_row.*", e["phase"].alias(phase_col), slot.alias(slot_col), place.alias(position_col))

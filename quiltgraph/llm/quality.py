@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import words
+from quiltgraph.llm.common import free_name, words
 
 #: Labelled rows that a model is fitted to at most: those with the smallest hash of their id.
 MAX_TRAIN = 20_000
@@ -57,11 +57,12 @@ NAMES = ("log_chars", "log_words", "word_length", "exclamations", "bars", "symbo
 
 
 def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with a column _stat_NAME for each statistic; a null text counts as empty."""
-    own = docs.columns
+    """The rows of docs as a struct _row, with a column _stat_NAME for each statistic; a null text counts as
+    empty."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    held = docs.withColumn("_text", text).withColumns({"_words": words(F.col("_text")), "_lines": F.split("_text", "\n"), "_n": F.char_length("_text")})
-    return held.select(*own, *[c.cast("double").alias(f"_stat_{k}") for k, c in statistics().items()])
+    held = docs.select(F.struct("*").alias("_row"), text.alias("_text"))
+    held = held.withColumns({"_words": words(F.col("_text")), "_lines": F.split("_text", "\n"), "_n": F.char_length("_text")})
+    return held.select("_row", *[c.cast("double").alias(f"_stat_{k}") for k, c in statistics().items()])
 
 
 # -- fitting, on the bounded sample
@@ -210,14 +211,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     own = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_own"))
     held = with_statistics(own.join(F.broadcast(marked), "_id").select("_id", "_label", "_own"), "_own")
     # max_train rows at most, if ids are not repeated; sorted, so that the fit is the same each time
-    table = held.select("_id", "_label", *[f"_stat_{k}" for k in NAMES]).orderBy(F.xxhash64("_id"), "_id", "_label", "_stat_log_chars").limit(max_train).toArrow()
+    table = held.select("_row._id", "_row._label", *[f"_stat_{k}" for k in NAMES]).orderBy(F.xxhash64("_id"), "_id", "_label", "_stat_log_chars").limit(max_train).toArrow()
     x = np.stack([table.column(f"_stat_{k}").to_numpy() for k in NAMES], axis=1) if len(table) else np.zeros((0, len(NAMES)))
     return fit_rules(x, table.column("_label").to_numpy().astype(np.float64))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with the model's score of each row, from 0 to 1; null and empty texts are scored as empty."""
-    return with_statistics(docs, text_col).withColumn(score_col, model.column()).select(*docs.columns, score_col)
+    """docs with the model's score of each row, from 0 to 1; null and empty texts are scored as empty. Where
+    docs has a column of the score's name, the score gets underscores before it."""
+    return with_statistics(docs, text_col).select("_row.*", model.column().alias(free_name(docs, score_col)))
 
 
 def held_out(id_col: str, modulus: int) -> Column:

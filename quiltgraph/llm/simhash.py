@@ -318,7 +318,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     groups = near_groups(docs, key, text_col, tau)
     own = {"_none": "none", "_id": "id", "_hash": "hash"}
     kept = groups.where(F.col("key").eqNullSafe(F.col("group"))).select(*[F.coalesce(F.col("key")[v], F.lit(0).cast("long") if v == "id" else F.col("key")[v]).alias(k) for k, v in own.items()]).distinct()
-    marked = docs.withColumns({"_none": number.isNull(), "_id": F.coalesce(number, F.lit(0)), "_hash": F.xxhash64(*docs.columns)})
+    marked = docs.select(F.struct("*").alias("_row"), number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(*docs.columns).alias("_hash"))
     marked = marked.join(kept, [*own], "left_semi")
-    first = F.row_number().over(Window.partitionBy(*own).orderBy(F.col(id_col)))
-    return marked.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0)))
+    return marked.withColumn("_first", first).where("_first = 1").select("_row.*")

@@ -48,17 +48,17 @@ def test_columns_score_as_the_model_does(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = q.train_quality(docs, labels)
-    table = q.score_quality(q.with_statistics(docs, "text"), model).toPandas()
+    table = q.with_statistics(docs, "text").withColumn("score", model.column()).toPandas()
     assert np.allclose(table["score"], model.score(table[[f"_stat_{k}" for k in q.NAMES]].to_numpy()))
     again = q.train_quality(docs.repartition(7), labels.repartition(3))
     assert again.rules == model.rules
 
 
 def test_odd_rows_and_no_labels(spark):
-    docs = spark.createDataFrame([(1, None, 0.0), (None, "", 0.0), (2, "x" * 300_000, 1.0), (2, "x" * 300_000, 1.0)], "doc_id long, text string, other double")
+    docs = spark.createDataFrame([(1, None, 0.0), (None, "", 0.0), (2, "x" * 300_000, 1.0), (2, "x" * 300_000, 1.0)], "doc_id long, text string, _text double")
     labels = spark.createDataFrame([(1, None), (None, 1), (9, 0), (2, 5)], "doc_id long, quality int")
     out = q.score_quality(docs, q.train_quality(docs, labels)).collect()
-    assert [r["score"] for r in out] == [0.5] * 4 and out[0].asDict().keys() == {"doc_id", "text", "other", "score"}
+    assert [r["score"] for r in out] == [0.5] * 4 and out[0].asDict().keys() == {"doc_id", "text", "_text", "score"}
     assert q.score_quality(docs.limit(0), q.RuleModel()).collect() == []
 
 
