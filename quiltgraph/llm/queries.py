@@ -43,6 +43,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiltgraph.llm.lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiltgraph.llm.quality import held_out, score_quality, train_quality
 
@@ -141,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op4_lm": op4_lm,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_fingerprints": op7_fingerprints,
