@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.plans.storage import materialise
+from quiltgraph.plans.loop import materialise_observed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,18 +21,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def contract(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def contract(edges: DataFrame) -> DataFrame:
     """(u, v) for an edge table (u, v): every node that isn't the smallest of its component, with that
-    smallest node. Loops and repeated edges are allowed; nodes with a null end are dropped; nodes are of
-    any orderable type. Every round is written to the shared folder, so lineage stays one round long and
-    nothing but a count and a checksum reaches the driver."""
-    kept = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    kept, mark, rounds = materialise(kept, "components"), None, 0
-    while max_rounds is None or rounds < max_rounds:
-        now = kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == now or not now[0]:
+    smallest node. Loops and repeated edges are allowed; edges with a null end are dropped; nodes are of
+    any orderable type. Every round is one job, written to the shared folder, so lineage stays one round long
+    and nothing but a count and a checksum reaches the driver."""
+    figures = {"n": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    start = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    kept, now = materialise_observed(start, "components", **figures)
+    while now["n"]:
+        before = now
+        kept, now = materialise_observed(_small_star(_large_star(kept).distinct()).distinct(), "components", **figures)
+        if now == before:
             break
-        mark = now
-        kept = materialise(_small_star(_large_star(kept).distinct()).distinct(), "components")
-        rounds += 1
     return kept

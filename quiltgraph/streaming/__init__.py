@@ -1,0 +1 @@
+"""Graph analytics here are batch jobs in supersteps; there is no streaming operator to offer."""
