@@ -219,7 +219,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the model's score of each row, from 0 to 1; null and empty texts are scored as empty. Where
     docs has a column of the score's name, the score gets underscores before it."""
-    return with_statistics(docs, text_col).select("_row.*", model.column().alias(free_name(docs, score_col)))
+    # Spark takes a column that names the partition for one that may change, and so doesn't move a filter on the
+    # score below the projection, where every rule would compute its statistics anew
+    score = F.when(F.spark_partition_id() >= 0, model.column())
+    return with_statistics(docs, text_col).select("_row.*", score.alias(free_name(docs, score_col)))
 
 
 def held_out(id_col: str, modulus: int) -> Column:
