@@ -30,19 +30,19 @@ HEAD = 1 << 18
 #: Kinds of texts, by a hash of a text's most frequent word.
 KINDS = 16
 #: Groups that words are clustered into by kinds of texts, and frequency bands of a group.
-GROUPS, BANDS = 8, 6
+GROUPS, BANDS = 8, 4
 #: Suffixes that have a group of their own.
 SUFFIXES = 4096
 CLASSES = GROUPS * BANDS + GROUPS + 1  # bands, rare words by group, the end
 #: Rows of the weight table; one more is always on.
 ROWS = 1 << 14
-RATE = 0.25
+RATE = 1.0
 #: Tokens of a gradient step, and of a scored batch.
 STEP, BATCH = 2048, 8192
 #: Rows of the weight table that are summed together when tables are averaged.
 BLOCK = 64
 #: Words counted in memory before they are handed on.
-HELD = 400_000
+HELD = 250_000
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -79,13 +79,14 @@ def count_words(texts: DataFrame) -> DataFrame:
                 c.clear()
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                ends += 1
-                own = Counter(tokens(text))
-                if own:
-                    first = max(own.items(), key=lambda x: (x[1], x[0]))[0]
-                    kinds[zlib.crc32(first) % KINDS].update(own)
-                if ends % 64 == 0 and sum(map(len, kinds)) > HELD:
+            for portion in _portions(b.column(0)):
+                for text in portion:
+                    own = Counter(tokens(text))
+                    if own:
+                        first = max(own.items(), key=lambda x: (x[1], x[0]))[0]
+                        kinds[zlib.crc32(first) % KINDS].update(own)
+                ends += len(portion)
+                if sum(map(len, kinds)) > HELD:
                     yield from flush()
         yield from flush()
         if ends:
@@ -254,29 +255,42 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def sum_segments(values: np.ndarray, edge: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` by segment, of n rows from edge on. Most segments are short, and a few hold most
+    rows; either kind goes faster on its own than all together."""
+    out = values[edge]
+    for k in range(1, 4):
+        longer = np.flatnonzero(n > k)
+        out[longer] += values[edge[longer] + k]
+    for i in np.flatnonzero(n > 4):
+        out[i] += values[edge[i] + 4 : edge[i] + n[i]].sum(axis=0)
+    return out
+
+
 class Trainer:
-    """Gradient steps with a rate for each weight that falls with its squared gradients so far."""
+    """Gradient steps with a rate for each feature that falls with its squared gradients so far."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.squares, self.seen = table.copy(), np.full(table.shape, 1e-2, np.float32), np.zeros(len(table), np.float32)
+        self.table, self.squares, self.seen = table.copy(), np.full(len(table), 1e-2, np.float32), np.zeros(len(table), np.float32)
 
     def step(self, rows: np.ndarray, target: np.ndarray) -> None:
         g = softmax(class_logits(self.table, rows))
         g[np.arange(len(target)), target] -= 1
-        flat = rows.ravel()
+        flat = rows.ravel().astype(np.uint16)  # 16 bits are sorted by radix
         order = np.argsort(flat, kind="stable")
         sorted_rows = flat[order]
         edge = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        touched = sorted_rows[edge]
-        sums = np.add.reduceat(g.take(order // 3, axis=0), edge, axis=0)
-        n = np.diff(np.append(edge, len(flat))).astype(np.float32)
-        self._move(touched, sums / np.sqrt(n)[:, None], n)
-        self._move(np.array([ROWS]), g.sum(axis=0, keepdims=True) / np.sqrt(len(target)), np.array([len(target)], np.float32))
+        n = np.diff(np.append(edge, len(flat)))
+        sums = sum_segments(g.take(order // 3, axis=0), edge, n)
+        sums /= np.sqrt(n, dtype=np.float32)[:, None]
+        self._move(sorted_rows[edge], sums, n)
+        self._move(np.array([ROWS]), g.sum(axis=0, keepdims=True) / np.sqrt(np.float32(len(target))), np.array([len(target)]))
 
     def _move(self, rows: np.ndarray, gradient: np.ndarray, n: np.ndarray) -> None:
-        squares = self.squares[rows] + gradient * gradient
+        squares = self.squares[rows] + np.einsum("ij,ij->i", gradient, gradient)
         self.squares[rows] = squares
-        self.table[rows] -= RATE * gradient / np.sqrt(squares)
+        gradient *= (RATE / np.sqrt(squares))[:, None]
+        self.table[rows] -= gradient
         self.seen[rows] += n
 
 
@@ -295,11 +309,12 @@ def _flat(encoder: Encoder, texts: list[bytes | None]) -> tuple[np.ndarray, np.n
 
 
 def _portions(column: pa.Array, most: int = 400_000) -> Iterator[list[bytes | None]]:
-    """Texts by the batch, in portions of about ``most`` bytes."""
+    """The texts of a batch in portions of about ``most`` bytes, so that few are held as Python objects at once."""
     out, held = [], 0
-    for t in column.to_pylist():
-        out.append(t)
-        held += len(t or b"")
+    for i in range(0, len(column), 64):
+        for t in column.slice(i, 64).to_pylist():
+            out.append(t)
+            held += len(t or b"")
         if held >= most:
             yield out
             out, held = [], 0
