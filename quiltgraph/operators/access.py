@@ -34,7 +34,8 @@ def vertex_counts(s: Subgraphs) -> DataFrame:
 
 def subgraph_edges(s: Subgraphs) -> DataFrame:
     """Out-edges of local vertices, repeated ones kept."""
-    return s.edges.select("subgraph_id", "edge_id", "src", "dst")
+    home = s.vertex_subgraph.select(F.col("vertex_id").alias("src"), "subgraph_id")
+    return s.graph.numbered_edges.join(home, "src").select("subgraph_id", "edge_id", "src", "dst")
 
 
 def edge_by_id(s: Subgraphs, edge_id: int) -> DataFrame:
@@ -42,11 +43,11 @@ def edge_by_id(s: Subgraphs, edge_id: int) -> DataFrame:
 
 
 def out_edges(s: Subgraphs, vertex_id: int) -> DataFrame:
-    return s.graph.edges.where(F.col("src") == vertex_id)
+    return s.graph.numbered_edges.where(F.col("src") == vertex_id)
 
 
 def in_edges(s: Subgraphs, vertex_id: int) -> DataFrame:
-    return s.graph.edges.where(F.col("dst") == vertex_id)
+    return s.graph.numbered_edges.where(F.col("dst") == vertex_id)
 
 
 def remote_owners(s: Subgraphs) -> DataFrame:

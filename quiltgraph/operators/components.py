@@ -31,7 +31,7 @@ def contract(edges: DataFrame) -> DataFrame:
     kept, now = materialise_observed(start, "components", **figures)
     while now["n"]:
         before = now
-        kept, now = materialise_observed(_small_star(_large_star(kept).distinct()).distinct(), "components", **figures)
+        kept, now = materialise_observed(_small_star(_large_star(kept)).distinct(), "components", **figures)
         if now == before:
             break
     return kept

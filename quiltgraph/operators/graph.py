@@ -1,12 +1,13 @@
 """The data model: a graph as vertex and edge tables with a logical partition.
 
-vertices(vertex_id bigint, partition_id int, ...) and edges(edge_id bigint, src bigint, dst bigint, ...); further
-columns, such as value, ride along. Edges are directed, repeated ones are kept.
+vertices(vertex_id bigint, partition_id int, ...) and edges(src bigint, dst bigint, ...); further columns, such as value or
+edge_id, ride along. Edges are directed, repeated ones are kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from quiltgraph.functions.ids import packed_id, with_rank
 from quiltgraph.plans.storage import materialise
 
-UNDECLARED = ("add", "drop", "error")
+UNDECLARED = ("add", "drop", "error", "none")
 
 
 @dataclass
@@ -25,10 +26,22 @@ class Graph:
     edges: DataFrame
     declared: DataFrame
 
+    @cached_property
+    def numbered_edges(self) -> DataFrame:
+        """Edges (edge_id, src, dst, ...). Those without an id from the input get canonical ones: the source's partition
+        in the upper 32 bits, and the rank there by source, place in the input's line, and sink."""
+        if "edge_id" in self.edges.columns:
+            return self.edges
+        order = ["src", *[c for c in self.edges.columns if c == "position"], "dst"]
+        placed = self.edges.join(self.vertices.select(F.col("vertex_id").alias("src"), "partition_id"), "src")
+        ranked = with_rank(placed, "partition_id", order, "_rank")
+        numbered = ranked.select(packed_id(F.col("partition_id"), F.col("_rank")).alias("edge_id"), "src", "dst", *[c for c in self.edges.columns if c not in ("src", "dst", "position")])
+        return materialise(numbered, "numbered-edges")
+
     def register(self, prefix: str = "") -> None:
         """Temporary views, so that SQL can query the graph."""
         self.vertices.createOrReplaceTempView(f"{prefix}vertices")
-        self.edges.createOrReplaceTempView(f"{prefix}edges")
+        self.numbered_edges.createOrReplaceTempView(f"{prefix}edges")
 
 
 def build_graph(vertices: DataFrame, edges: DataFrame, undeclared: str = "add") -> Graph:
@@ -36,8 +49,8 @@ def build_graph(vertices: DataFrame, edges: DataFrame, undeclared: str = "add")
 
     A vertex that is declared more than once is one vertex, in its smallest partition, with all edges. Sinks
     and sources without a declaration are added (a sink to the smallest partition that refers to it, a
-    source to partition 0), their edges dropped, or an error. Edges without an id get canonical ones,
-    ranked in the source's partition by source, sink and the given order.
+    source to partition 0), their edges dropped, or an error; with "none" the caller knows that there is none, and
+    it isn't looked for.
     """
     if undeclared not in UNDECLARED:
         raise ValueError(f"undeclared is one of {', '.join(UNDECLARED)}")
@@ -48,27 +61,21 @@ def build_graph(vertices: DataFrame, edges: DataFrame, undeclared: str = "add")
         first = F.min_by(F.struct("partition_id", *others), "partition_id")
     declared = declared.groupBy("vertex_id").agg(first.alias("_one")).select("vertex_id", F.coalesce(F.col("_one.partition_id").cast("int"), F.lit(0)).alias("partition_id"), *[F.col(f"_one.{c}").alias(c) for c in others])
     declared = materialise(declared, "vertices")
+    edges = materialise(edges.where("src is not null and dst is not null"), "edges")
+    if undeclared == "none":
+        return Graph(declared, edges, declared)
     owner = declared.select("vertex_id", "partition_id")
-    edges = edges.where("src is not null and dst is not null")
     ends = edges.select("src", "dst").distinct()
     unknown = ends.join(owner.select(F.col("vertex_id").alias("dst")), "dst", "left_anti")
     sources = ends.join(owner.select(F.col("vertex_id").alias("src")), "src", "left_anti").select(F.col("src").alias("vertex_id"), F.lit(0).alias("partition_id"))
     added = unknown.join(owner.withColumnRenamed("vertex_id", "src"), "src", "left").select(F.col("dst").alias("vertex_id"), F.coalesce("partition_id", F.lit(0)).alias("partition_id"))
     added = materialise(added.unionByName(sources).groupBy("vertex_id").agg(F.min("partition_id").alias("partition_id")), "added")
-    every = declared
-    if not added.isEmpty():
-        if undeclared == "error":
-            raise ValueError("edges refer to vertices that are not declared")
-        if undeclared == "add":
-            every = declared.unionByName(added, allowMissingColumns=True)
-        else:
-            for end in ("src", "dst"):
-                edges = edges.join(added.select(F.col("vertex_id").alias(end)), end, "left_anti")
-    if "edge_id" not in edges.columns:
-        order = [c for c in ("position",) if c in edges.columns]
-        placed = edges.join(every.select(F.col("vertex_id").alias("src"), "partition_id"), "src")
-        ranked = with_rank(placed, "partition_id", ["src", *order, "dst"], "_rank")
-        edges = ranked.select(packed_id(F.col("partition_id"), F.col("_rank")).alias("edge_id"), *[c for c in edges.columns if c != "position"])
-    front = ["edge_id", "src", "dst"]
-    edges = materialise(edges.select(*front, *[c for c in edges.columns if c not in front]), "edges")
-    return Graph(every, edges, declared)
+    if added.isEmpty():
+        return Graph(declared, edges, declared)
+    if undeclared == "error":
+        raise ValueError("edges refer to vertices that are not declared")
+    if undeclared == "add":
+        return Graph(declared.unionByName(added, allowMissingColumns=True), edges, declared)
+    for end in ("src", "dst"):
+        edges = edges.join(added.select(F.col("vertex_id").alias(end)), end, "left_anti")
+    return Graph(declared, materialise(edges, "edges"), declared)

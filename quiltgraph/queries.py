@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltgraph.operators import access, analytics, messaging, program
-from quiltgraph.operators.graph import Graph, build_graph
+from quiltgraph.operators.graph import Graph
 from quiltgraph.operators.sets import DisjointSets
 from quiltgraph.operators.subgraphs import Subgraphs, form_subgraphs
 from quiltgraph.plans.storage import work_dir
@@ -84,7 +84,7 @@ def _valued(g: Graph, maps: bool = False) -> Graph:
         value = lambda kind, c: F.create_map(F.lit("name"), F.concat(F.lit(kind), F.col(c).cast("string")), F.lit(" kind"), F.lit(kind))
     else:
         value = name
-    return Graph(g.vertices.withColumn("value", value("v", "vertex_id")), g.edges.withColumn("value", value("e", "edge_id")), g.declared)
+    return Graph(g.vertices.withColumn("value", value("v", "vertex_id")), g.numbered_edges.withColumn("value", value("e", "edge_id")), g.declared)
 
 
 def _round_trip(format: str) -> Query:
@@ -105,7 +105,7 @@ def _round_trip(format: str) -> Query:
         own = f"{path}/*" if format in ("json_map", "adj_by_file") else path
         back = read_graph(spark, own, format, partitions=tables.PARTITIONS)
         v = back.vertices.select(F.col("vertex_id").alias("src"), "partition_id", *([F.col("value").alias("v")] if "value" in back.vertices.columns else []))
-        rows = back.edges.join(v, "src")
+        rows = back.numbered_edges.join(v, "src")
         if format == "json":
             return rows.select("src", "dst", "partition_id", "edge_id", F.col("value").alias("edge_value"), F.col("v").alias("vertex_value"))
         if format == "json_map":

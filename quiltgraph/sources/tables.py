@@ -16,7 +16,7 @@ def _symmetric(pairs: DataFrame) -> DataFrame:
 
 def _graph(edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex_id")) if vertices is None else vertices
-    return build_graph(ends.distinct().withColumn("partition_id", F.pmod("vertex_id", F.lit(PARTITIONS)).cast("int")), edges)
+    return build_graph(ends.distinct().withColumn("partition_id", F.pmod("vertex_id", F.lit(PARTITIONS)).cast("int")), edges, "none")
 
 
 def geo(spark: SparkSession, sf_dir: str) -> Graph:

@@ -10,9 +10,10 @@ from quiltgraph.operators.subgraphs import Subgraphs
 
 
 def _with_edges(graph: Graph) -> DataFrame:
-    columns = [c for c in ("edge_id", "dst", "value") if c in graph.edges.columns]
-    held = graph.edges.select(F.col("src").alias("vertex_id"), F.struct(*columns).alias("e"))
-    if "value" in columns and dict(graph.edges.dtypes)["value"].startswith("map"):
+    edges = graph.numbered_edges
+    columns = [c for c in ("edge_id", "dst", "value") if c in edges.columns]
+    held = edges.select(F.col("src").alias("vertex_id"), F.struct(*columns).alias("e"))
+    if "value" in columns and dict(edges.dtypes)["value"].startswith("map"):
         lists = held.groupBy("vertex_id").agg(F.collect_list("e").alias("out"))
         lists = lists.withColumn("out", F.array_sort("out", lambda x, y: F.when(x["edge_id"] < y["edge_id"], -1).when(x["edge_id"] > y["edge_id"], 1).otherwise(0)))
     else:
@@ -76,7 +77,7 @@ def write_lines(lines: DataFrame, path: str, by_partition: bool = False) -> None
 
 def write_tables(graph: Graph, path: str) -> None:
     graph.vertices.write.parquet(f"{path}/vertices.parquet")
-    graph.edges.write.parquet(f"{path}/edges.parquet")
+    graph.numbered_edges.write.parquet(f"{path}/edges.parquet")
 
 
 def write_rows(rows: DataFrame, path: str, separator: str = "\t") -> None:

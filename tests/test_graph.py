@@ -53,7 +53,7 @@ def test_m1_structure(m1):
     assert rows(m1.subgraphs) == sorted([(sg("0:0"), 0, 3, 2, 9), (sg("1:0"), 1, 1, 3, 3), (sg("1:1"), 1, 1, 1, 1), (sg("1:2"), 1, 1, 0, 0), (sg("2:0"), 2, 1, 1, 1), (sg("2:1"), 2, 2, 2, 4)], key=repr)
     meta = [("0:0", "1:0"), ("0:0", "2:1"), ("1:0", "0:0"), ("1:0", "0:0"), ("1:0", "2:1"), ("1:1", "2:0"), ("2:0", "1:1"), ("2:1", "0:0"), ("2:1", "1:0")]
     assert rows(analytics.meta_graph(m1)) == sorted([(sg(a), sg(b)) for a, b in meta], key=repr)
-    assert rows(m1.graph.edges, F.shiftright("edge_id", 32).alias("p"), F.col("edge_id").bitwiseAND(F.lit(2**32 - 1)).alias("k")) == sorted([(0, k) for k in range(9)] + [(1, k) for k in range(4)] + [(2, k) for k in range(5)], key=repr)
+    assert rows(m1.graph.numbered_edges, F.shiftright("edge_id", 32).alias("p"), F.col("edge_id").bitwiseAND(F.lit(2**32 - 1)).alias("k")) == sorted([(0, k) for k in range(9)] + [(1, k) for k in range(4)] + [(2, k) for k in range(5)], key=repr)
 
 
 def test_m1_analytics(m1):
