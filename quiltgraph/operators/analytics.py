@@ -51,10 +51,9 @@ def meta_distances(subgraphs: Subgraphs) -> DataFrame:
         levels.append(front)
         hops += 1
         reached = front.select("src_sg", F.col("dst_sg").alias("via")).join(meta, "via").select("src_sg", "dst_sg").distinct()
-        for old in levels:
-            reached = reached.join(old.select("src_sg", "dst_sg"), ["src_sg", "dst_sg"], "left_anti")
-        if len(levels) > 8:
+        if len(levels) > 16:
             levels = [materialise(_union(levels), "distances")]
+        reached = reached.join(_union(levels).select("src_sg", "dst_sg"), ["src_sg", "dst_sg"], "left_anti")
         front, row = materialise_observed(reached.withColumn("hops", F.lit(hops)), "distances", n=F.count(F.lit(1)))
         n = row["n"]
     return _union(levels)
@@ -116,12 +115,11 @@ def shortest_paths(graph: Graph, source: int) -> DataFrame:
     while row["n"]:
         distance += 1
         reached = front.select(F.col("vertex_id").alias("parent")).join(hops, "parent").groupBy("vertex_id").agg(F.min("parent").alias("parent"))
-        for old in levels:
-            reached = reached.join(old.select("vertex_id"), "vertex_id", "left_anti")
+        if len(levels) > 16:
+            levels = [materialise(_union(levels), "paths")]
+        reached = reached.join(_union(levels).select("vertex_id"), "vertex_id", "left_anti")
         front, row = materialise_observed(reached.select("vertex_id", F.lit(distance).alias("distance"), "parent"), "paths", n=F.count(F.lit(1)))
         levels.append(front)
-        if len(levels) > 8:
-            levels = [materialise(_union(levels), "paths")]
     return _union(levels)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph import queries
 from quiltgraph.functions import ids
-from quiltgraph.operators import access, analytics, messaging, program
+from quiltgraph.operators import access, analytics, components, messaging, program
 from quiltgraph.operators.components import contract
 from quiltgraph.operators.graph import build_graph
 from quiltgraph.operators.sets import DisjointSets
@@ -148,10 +148,19 @@ def test_random_graphs(spark):
         assert a == b
 
 
-def test_contract_and_sets(spark):
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_contract(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", one_task)
     pairs = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (5, 5), (None, 1)]
-    out = dict(rows(contract(spark.createDataFrame(pairs, "u long, v long"))))
-    assert out == {i: 0 for i in range(1, 201)} | {301: 300}
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    assert dict(rows(contract(edges))) == {i: 0 for i in range(1, 201)} | {301: 300}
+    node = lambda c: F.struct((F.col(c) % 2).alias("p"), F.col(c).cast("string").alias("id"))
+    some = contract(edges.where("u >= 300").select(node("u").alias("u"), node("v").alias("v")))
+    assert [(tuple(r["u"]), tuple(r["v"])) for r in some.collect()] == [((1, "301"), (0, "300"))]
+    assert contract(edges.where("u = 5 and v = 5")).collect() == []
+
+
+def test_sets(spark):
     elements = spark.createDataFrame([(i,) for i in [1, 2, 3, 4, 4, None]], "element long")
     sets = DisjointSets.of(elements).union(spark.createDataFrame([(1, 2), (2, 1)], "x long, y long")).union(spark.createDataFrame([(2, 4)], "x long, y long"))
     assert rows(sets.sets()) == [(1, [1, 2, 4], 3), (3, [3], 1)] and rows(sets.count()) == [(2,)]
