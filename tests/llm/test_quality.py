@@ -54,6 +54,14 @@ def test_columns_score_as_the_model_does(spark):
     assert again.rules == model.rules
 
 
+def test_sample_is_bounded(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), F.col("id").cast("int") % 9).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    smallest = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id")).limit(500).collect()]
+    few = labels.where(F.col("doc_id").isin(smallest))
+    assert q.train_quality(docs, labels, max_train=500).rules == q.train_quality(docs, few).rules
+
+
 def test_odd_rows_and_no_labels(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (None, "", 0.0), (2, "x" * 300_000, 1.0), (2, "x" * 300_000, 1.0)], "doc_id long, text string, _text double")
     labels = spark.createDataFrame([(1, None), (None, 1), (9, 0), (2, 5)], "doc_id long, quality int")
