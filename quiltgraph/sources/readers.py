@@ -6,10 +6,14 @@ json         [src, partition, "value", [[sink, edge_id, "value"], ...]]
 json_map     [src, "key:type:value$...", [[sink, edge_id, "key:type:value$..."], ...]], the partition from the file
 edgelist     SRC DST, lines that begin with # are comments; the partition from the vertex id
 tables       vertices.parquet and edges.parquet in a folder
+
+A function in place of a name is a reader of one's own: it gets the lines (line, file) and returns what ``parse`` does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +23,14 @@ FORMATS = ("adj", "adj_by_file", "json", "json_map", "edgelist", "tables")
 MODES = ("failfast", "permissive")
 
 
-def read_graph(spark: SparkSession, path: str | list[str], format: str = "adj", mode: str = "failfast", undeclared: str = "add", partitions: int = 1) -> Graph:
+Parser = Callable[[DataFrame], DataFrame]
+
+
+def read_graph(spark: SparkSession, path: str | list[str], format: str | Parser = "adj", mode: str = "failfast", undeclared: str = "add", partitions: int = 1) -> Graph:
     """A graph from files. Blank lines are skipped; a malformed line is an error (failfast) or left out (permissive; see
     ``bad_rows``). A vertex on several lines has the edges of all of them. ``partitions`` is for edge lists only: a
     vertex is in the partition of its id modulo that number."""
-    if format not in FORMATS or mode not in MODES:
+    if not callable(format) and format not in FORMATS or mode not in MODES:
         raise ValueError(f"format is one of {', '.join(FORMATS)}; mode one of {', '.join(MODES)}")
     if format == "tables":
         return build_graph(spark.read.parquet(f"{path}/vertices.parquet"), spark.read.parquet(f"{path}/edges.parquet"), undeclared)
@@ -42,17 +49,19 @@ def read_graph(spark: SparkSession, path: str | list[str], format: str = "adj",
     return build_graph(vertices, out.select("src", *[c for c in ("position",) if "edge_id" not in keys], "e.*"), undeclared)
 
 
-def bad_rows(spark: SparkSession, path: str | list[str], format: str) -> DataFrame:
+def bad_rows(spark: SparkSession, path: str | list[str], format: str | Parser) -> DataFrame:
     """The malformed lines that the permissive mode leaves out."""
     return parse(spark, path, format).where("bad").select("line")
 
 
-def parse(spark: SparkSession, path: str | list[str], format: str) -> DataFrame:
+def parse(spark: SparkSession, path: str | list[str], format: str | Parser) -> DataFrame:
     """(line, bad, src, partition_id, value if any, out: array of edges) of each line that isn't blank."""
     text = spark.read.text(path)
     lines = text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
     if format in ("adj_by_file", "json_map"):
         lines = lines.join(F.broadcast(_file_numbers(text)), "file")
+    if callable(format):
+        return format(lines)
     return {"adj": _adjacency, "adj_by_file": _adjacency_by_file, "json": _json, "json_map": _json_map, "edgelist": _edges}[format](lines)
 
 

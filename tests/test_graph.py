@@ -240,6 +240,12 @@ def test_readers_on_odd_lines(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read_graph(spark, "x", "xml")
 
+    def own(lines):
+        n = F.split("line", "\\s+").cast("array<bigint>")
+        return lines.where("line rlike '^[0-9]'").select("line", F.lit(False).alias("bad"), n[0].alias("src"), F.lit(3).alias("partition_id"), F.array(F.struct(n[1].alias("dst"))).alias("out"))
+
+    assert rows(readers.read_graph(spark, f"{tmp_path}/e", own).vertices) == [(1, 3), (2, 3), (3, 3)]
+
 
 def test_lines(m1, m2, spark, tmp_path):
     assert rows(writers.adjacency_lines(m2.graph), "value") == [("1 0 10",), ("10 1 20",), ("2 0 10",), ("20 2",), ("3 0",), ("30 2 1",)]
