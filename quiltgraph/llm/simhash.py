@@ -45,14 +45,13 @@ def simhash(text: str | None) -> int:
     if not own:
         return 0
     if len(own) < SHINGLE:
-        shingles = [b" ".join(own)]
-    else:
-        shingles = [b"%b %b %b" % x for x in zip(own, own[1:], own[2:])]
-    digest = xxhash.xxh64_intdigest
-    total, counts = len(shingles), np.zeros(64, np.int64)
-    for i in range(0, total, 1 << 16):
-        part = shingles[i : i + (1 << 16)]
-        hashes = np.fromiter((digest(s, SEED) for s in part), np.uint64, len(part))
+        own = [b" ".join(own)]
+    width = min(SHINGLE, len(own))
+    digest, total, counts = xxhash.xxh64_intdigest, len(own) - width + 1, np.zeros(64, np.int64)
+    for i in range(0, total, 1 << 16):  # a long text's shingles aren't all held at once
+        n = min(1 << 16, total - i)
+        shingles = zip(*(own[i + k : i + k + n] for k in range(width)), strict=True)
+        hashes = np.fromiter((digest(b" ".join(s), SEED) for s in shingles), np.uint64, n)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
