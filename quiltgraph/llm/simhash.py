@@ -11,7 +11,7 @@ meets is verified. Only distinct fingerprints take part, so exact copies cost no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -309,12 +309,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("group").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, grouped: Callable[..., DataFrame] | None = None) -> DataFrame:
     """The rows of docs that come first in their component: by id (null last), then by a hash of all columns.
-    Rows that are equal in all columns count as one. Columns stay as they are."""
+    Rows that are equal in all columns count as one. Columns stay as they are. Components are those of
+    grouped(docs, key, text_col), by default near_groups within tau bits."""
     number = docs[id_col].cast("long")
     key = F.struct(number.isNull().alias("none"), number.alias("id"), F.xxhash64(*docs.columns).alias("hash"))
-    groups = near_groups(docs, key, text_col, tau)
+    groups = grouped(docs, key, text_col) if grouped else near_groups(docs, key, text_col, tau)
     own = {"_none": "none", "_id": "id", "_hash": "hash"}
     kept = groups.where(F.col("key").eqNullSafe(F.col("group"))).select(*[F.coalesce(F.col("key")[v], F.lit(0).cast("long") if v == "id" else F.col("key")[v]).alias(k) for k, v in own.items()]).distinct()
     marked = docs.select(F.struct("*").alias("_row"), number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(*docs.columns).alias("_hash"))
