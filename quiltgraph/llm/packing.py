@@ -149,8 +149,9 @@ def tokens_of(path: str) -> Tokens:
     return _loaded[path]
 
 
-def pack_partition(rows: Iterable[tuple], encode, capacity: int, block_tokens: int, first: int) -> Iterator[tuple]:
-    """rows: (doc_id, text). Yields (doc_id, start, length, doc_tokens, sequence_id, offset, ids)."""
+def pack_partition(rows: Iterable[tuple], encode, capacity: int, block_tokens: int, first: int, in_order: bool = False) -> Iterator[tuple]:
+    """rows: (doc_id, text). Yields (doc_id, start, length, doc_tokens, sequence_id, offset, ids). in_order: blocks hold
+    full windows too, and a block's sequences are numbered by the mean place of their tokens among the rows."""
     sequence = first
     block: list[tuple] = []  # doc_id, first token held, ids held, tokens of the document
     held = 0
@@ -158,7 +159,10 @@ def pack_partition(rows: Iterable[tuple], encode, capacity: int, block_tokens: i
     def flush() -> Iterator[tuple]:
         nonlocal sequence
         windows = best_fit_decreasing([(i, 0, len(x[2])) for i, x in enumerate(block)], capacity)
-        for window in close_gaps(windows, capacity):
+        windows = close_gaps(windows, capacity)
+        if in_order:
+            windows.sort(key=lambda w: sum(doc * length for doc, _, length in w) / sum(length for _, _, length in w))
+        for window in windows:
             offset = 0
             for doc, start, length in window:
                 doc_id, before, ids, total = block[doc]
@@ -171,6 +175,10 @@ def pack_partition(rows: Iterable[tuple], encode, capacity: int, block_tokens: i
         total = len(ids)
         full = total - total % capacity
         for start in range(0, full, capacity):
+            if in_order:
+                block.append((doc_id, start, ids[start : start + capacity], total))
+                held += capacity
+                continue
             yield doc_id, start, capacity, total, sequence, 0, ids[start : start + capacity].tobytes()
             sequence += 1
         if total > full:
@@ -182,7 +190,7 @@ def pack_partition(rows: Iterable[tuple], encode, capacity: int, block_tokens: i
     yield from flush()
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, block_tokens: int = BLOCK_TOKENS, in_order: bool = False) -> DataFrame:
     """Packs every row of docs into sequences of at most ``capacity`` tokens.
 
     A document's tokens are those of its text (null: empty) and the end token 0, so an empty text
@@ -190,7 +198,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     the document before it), length, doc_tokens, sequence_id, offset in the sequence, ids (unsigned
     little-endian 32-bit integers). Repeated rows are packed each; other columns of docs are ignored
     whatever their names; an empty table gives an empty result. A sequence id holds the number of the
-    input partition, so a task that is run again gives the same rows.
+    input partition, so a task that is run again gives the same rows. With in_order, sequence ids follow
+    the order of docs: each block of ``block_tokens`` tokens before the next, and about so within a block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         out: list[tuple] = []
         first = TaskContext.get().partitionId() << PARTITION_SHIFT
-        for piece in pack_partition(rows, encode, capacity, block_tokens, first):
+        for piece in pack_partition(rows, encode, capacity, block_tokens, first, in_order):
             out.append(piece)
             if len(out) == 4096:
                 yield _batch(out)
