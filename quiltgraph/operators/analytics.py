@@ -14,8 +14,8 @@ from quiltgraph.plans.storage import materialise
 DAMPING, BASE, UPDATES = 0.85, 0.15, 31
 #: Updates after which PageRank writes its table; in between, the plan just grows.
 CUT_EVERY = 8
-#: Subgraphs up to which all pairs of them are searched for the diameter.
-MAX_DIAMETER_SUBGRAPHS = 20_000
+#: Subgraphs, about, from which the diameter is searched at once.
+DIAMETER_BLOCK = 20_000
 
 
 def vertex_count(graph: Graph) -> DataFrame:
@@ -40,11 +40,15 @@ def meta_graph(subgraphs: Subgraphs) -> DataFrame:
 
 
 def meta_distances(subgraphs: Subgraphs) -> DataFrame:
-    """(src_sg, dst_sg, hops) of all ordered pairs of subgraphs with a path, by breadth-first search from all at once."""
+    """(src_sg, dst_sg, hops) of all ordered pairs of subgraphs with a path, by breadth-first search from all at once.
+    The rows may grow with the square of the subgraphs, as the meaning demands."""
+    return _distances_from(subgraphs.subgraphs, subgraphs)[0]
+
+
+def _distances_from(sources: DataFrame, subgraphs: Subgraphs) -> tuple[DataFrame, int]:
+    """The distances from some subgraphs, and the largest of them."""
     meta = subgraphs.meta_edges.select(F.col("src_sg").alias("via"), "dst_sg")
-    if subgraphs.subgraphs.count() > MAX_DIAMETER_SUBGRAPHS:
-        raise ValueError("too many subgraphs for the distances of all pairs")
-    start = subgraphs.subgraphs.select(F.col("subgraph_id").alias("src_sg"), F.col("subgraph_id").alias("dst_sg"), F.lit(0).alias("hops"))
+    start = sources.select(F.col("subgraph_id").alias("src_sg"), F.col("subgraph_id").alias("dst_sg"), F.lit(0).alias("hops"))
     levels, front, hops = [], materialise(start, "distances"), 0
     n = 1
     while n:
@@ -56,7 +60,7 @@ def meta_distances(subgraphs: Subgraphs) -> DataFrame:
         reached = reached.join(_union(levels).select("src_sg", "dst_sg"), ["src_sg", "dst_sg"], "left_anti")
         front, row = materialise_observed(reached.withColumn("hops", F.lit(hops)), "distances", n=F.count(F.lit(1)))
         n = row["n"]
-    return _union(levels)
+    return _union(levels), hops - 1
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -68,9 +72,13 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def graph_stats(subgraphs: Subgraphs) -> DataFrame:
     """One row: n_vertices, n_edges, n_subgraphs and meta_diameter, the most subgraphs on a shortest path of the
-    directed graph of subgraphs (hops + 1, so 1 at least)."""
+    directed graph of subgraphs (hops + 1, so 1 at least). The search starts from a block of subgraphs at a time,
+    of which only the largest distance is held."""
     totals = subgraphs.subgraphs.agg(F.sum("n_local").alias("n_vertices"), F.sum("n_edges").alias("n_edges"), F.count(F.lit(1)).alias("n_subgraphs"))
-    return totals.join(meta_distances(subgraphs).agg((F.max("hops") + 1).cast("long").alias("meta_diameter")))
+    blocks = -(-subgraphs.subgraphs.count() // DIAMETER_BLOCK)
+    block = F.pmod(F.xxhash64("subgraph_id"), F.lit(max(1, blocks)))
+    longest = [_distances_from(subgraphs.subgraphs.where(block == i), subgraphs)[1] for i in range(blocks)]
+    return totals.withColumn("meta_diameter", F.lit(max(longest) + 1 if longest else None).cast("long"))
 
 
 def subgraph_components(subgraphs: Subgraphs) -> DataFrame:
