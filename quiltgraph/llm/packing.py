@@ -114,10 +114,38 @@ def close_gaps(windows: list[list[Piece]], capacity: int = CAPACITY) -> list[lis
     return done
 
 
+#: The pre-tokenizer that tiktoken's pattern stands for.
+PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def as_ranks(spec: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """The vocabulary of a tokenizers file as merge ranks and special tokens, or None where tiktoken might give other ids:
+    if texts are normalised or cut in another way, or merges aren't in the order of their ids."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or {k: cut.get(k) for k in PLAIN} != PLAIN or model.get("type") != "BPE":
+        return None
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    # the printable stand-ins of the 256 bytes in such files
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    odd = [b for b in range(256) if b not in set(plain)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocab = {token: i for token, i in model["vocab"].items() if token not in special}
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if merged != sorted(set(merged)) or -1 in merged or not all(set(token) <= byte.keys() for token in vocab) or len(vocab) != 256 + len(merged):
+        return None
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items()}, special
+
+
 class Tokens:
-    """The ids that a byte-level vocabulary file of the tokenizers library gives, by tiktoken's merges
-    (several times as fast); the tests hold the two libraries against each other. The strings of
-    special tokens in a text become these tokens, as that library has it."""
+    """The ids that the tokenizers library gives for a vocabulary file. Where the file allows, they come by tiktoken's
+    merges, several times as fast (the tests hold the two against each other); for any other file, and for texts
+    whose long runs of white space are too much for its pattern, by the library itself. The strings of special
+    tokens in a text become these tokens, as that library has it."""
 
     def __init__(self, path: str):
         import json
@@ -125,18 +153,21 @@ class Tokens:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        # the printable stand-ins of the 256 bytes in such files
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        odd = [b for b in range(256) if b not in set(plain)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+            found = as_ranks(json.load(f))
+        self.path, self.library = path, None
+        self.coder = found and tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=found[0], special_tokens=found[1])
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.coder.encode_to_numpy(text, allowed_special="all")
+        if self.coder:
+            try:
+                return self.coder.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # the pattern's backtracking gave up
+                pass
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _loaded: dict[str, Tokens] = {}
@@ -197,7 +228,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     still gives one piece. Returns a row per piece: doc_id (null where it is null), start (tokens of
     the document before it), length, doc_tokens, sequence_id, offset in the sequence, ids (unsigned
     little-endian 32-bit integers). Repeated rows are packed each; other columns of docs are ignored
-    whatever their names; an empty table gives an empty result. A sequence id holds the number of the
+    whatever their names; an empty table gives an empty result; a text of any length is tokenised whole, and its full
+    windows are passed on at once unless in_order. A sequence id holds the number of the
     input partition, so a task that is run again gives the same rows. With in_order, sequence ids follow
     the order of docs: each block of ``block_tokens`` tokens before the next, and about so within a block.
     """
