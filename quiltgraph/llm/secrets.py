@@ -8,7 +8,10 @@ its surroundings and the dictionary, and is reported.
 
 from __future__ import annotations
 
+import builtins
+import keyword
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +32,8 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # The novelty method's parameters.
 SENSITIVE = re.compile(r"(?i:passw|secret|token|api_?key|credential|private_?key|bearer|authorization|signature)", re.ASCII)
 SENSITIVE_HINTS = ("passw", "secret", "token", "apikey", "api_key", "credential", "private", "bearer", "authorization", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST_CANDIDATE = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST_CANDIDATE)
 #: Code points after a sensitive word in which a candidate may begin.
 REACH = 80
 #: Code points of surroundings before and after a candidate.
@@ -50,6 +54,9 @@ PRIMER = (
     "ffffffffffffffffffffffffffffffff xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx 1234567890123456789012345678901234567890"
 ).encode()
 
+#: The identifiers of the language that this runs on: its keywords, builtins and modules.
+IDENTIFIERS = " ".join(sorted({*keyword.kwlist, *dir(builtins), *(n for k in (str, dict, bytes) for n in dir(k)), *sys.stdlib_module_names})).encode()
+
 SPAN = "struct<kind:string,start:int,end:int,value_start:int,novelty:double>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32()), ("novelty", pa.float64())])
 
@@ -59,8 +66,9 @@ Span = tuple[str, int, int, int, float | None]
 class Novelty:
     """Marginal compressed bytes of a string within its surroundings."""
 
-    def __init__(self, primer: bytes = PRIMER):
+    def __init__(self, primer: bytes = IDENTIFIERS + b" " + PRIMER):
         primed = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=3)
         self.coder = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)
 
     def __call__(self, text: str, start: int, end: int) -> float:
@@ -81,19 +89,24 @@ def scan_text(text: str, novelty: Novelty) -> list[Span]:
     found += [("hex", m.start(), m.end(), m.start(), None) for m in HEX.finditer(text)]
     if any(h in low for h in SENSITIVE_HINTS):
         base = sorted((x[1], x[2]) for x in found)
-        at = seen = 0
+        runs = CANDIDATE.finditer(text)  # each run is looked at once, whatever the number of words before it
+        run, at, seen = next(runs, None), 0, 0
         for word in SENSITIVE.finditer(text):
-            position = max(word.end(), seen)
-            while (m := CANDIDATE.search(text, position, len(text))) and m.start() <= word.end() + REACH:
-                position = seen = m.end()
-                while at < len(base) and base[at][1] <= m.start():
+            seen = max(word.end(), seen)
+            while run and max(run.start(), seen) <= word.end() + REACH:
+                start, end = max(run.start(), seen), run.end()  # a run may have begun before or in the word
+                run = next(runs, None)
+                if end - start < LEAST_CANDIDATE:
+                    continue
+                seen = end
+                while at < len(base) and base[at][1] <= start:
                     at += 1
-                if any(s < m.end() and e > m.start() for s, e in base[at : at + 4]):
+                if any(s < end and e > start for s, e in base[at : at + 4]):
                     continue
-                own = m.group()
-                if any(c.isdigit() for c in own) and any(c.isalpha() for c in own) and (share := novelty(text, m.start(), m.end())) >= NOVELTY:
-                    found.append(("novel", m.start(), m.end(), m.start(), share))
-            if not m:
+                own = text[start:end]
+                if any(c.isdigit() for c in own) and any(c.isalpha() for c in own) and (share := novelty(text, start, end)) >= NOVELTY:
+                    found.append(("novel", start, end, start, share))
+            if not run:
                 break
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -103,7 +116,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     spans holds kind, start and end (code points of the whole text, end exclusive), value_start (where
     the secret itself begins) and, for novel spans, the marginal bytes per byte. A null or empty text
-    has no spans; repeated rows are scanned each; other columns are ignored whatever their names.
+    has no spans; repeated rows are scanned each; other columns are ignored whatever their names; an empty table gives
+    an empty result. The time for a text grows with its length, whatever it holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +140,9 @@ def redact(text: str, spans: list[Span], mask: str) -> str:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with the secret part of every span replaced by ``mask``; rows, columns and their order stay.
-    Null texts stay null."""
+    """docs with the secret part of every span replaced by ``mask``; rows, columns and their order stay. Null and empty
+    texts stay as they are, repeated rows are treated alike, an empty table stays empty, and other columns, whatever
+    their names, are passed on. Of spans that overlap, the text from the first one's secret part to the last end goes."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
