@@ -16,18 +16,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiltgraph.llm.common import materialise
+
 #: Queries that are scored in one scan of the table; bounds what is broadcast and held.
-QUERY_BLOCK = 16_384
+QUERY_BLOCK = 32_768
 BINS = 64
 #: Queries and candidates whose scores are held at once.
 CHUNK = (512, 4096)
 
-LIMIT = float(2**62)
+#: Components and scores are held as longs; what is beyond stays at the bound.
+LIMIT = 2**63 - 1
+SIGN = np.uint64(1 << 63)
 
 
 def to_integers(values: np.ndarray, scale: float) -> np.ndarray:
-    """floor(scale * x) as long; beyond 2^62 it stays at that bound."""
-    return np.clip(np.floor(values.astype(np.float64) * scale), -LIMIT, LIMIT).astype(np.int64)
+    """floor(scale * x) as long; beyond that range it stays at the bound."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(values.astype(np.float64) * scale)
+    out = np.where(np.abs(whole) < 2.0**63, whole, 0).astype(np.int64)
+    out[whole >= 2.0**63] = LIMIT
+    out[whole <= -(2.0**63)] = -LIMIT
+    return out
+
+
+def ordered(scores: np.ndarray) -> np.ndarray:
+    """Longs as unsigned numbers of the same order, whose differences never overflow."""
+    return scores.view(np.uint64) ^ SIGN
 
 
 def vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -51,7 +65,21 @@ def vectors(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, n
 
 
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer inner products as longs, in the cheapest type that holds them."""
+    """Inner products as longs: exact, in the cheapest type that holds them; beyond the range of a long, at its bound."""
+    tame = 3.0e9 / max(1, queries.shape[1]) ** 0.5  # two of such components' products add up to less than 2 ** 63
+    small_q, small_r = (np.abs(x.astype(np.float64)).max(axis=1, initial=0) < tame for x in (queries, rows))
+    if small_q.all() and small_r.all():
+        return _tame_products(queries, rows)
+    out = np.empty((len(queries), len(rows)), np.int64)
+    out[np.ix_(small_q, small_r)] = _tame_products(queries[small_q], rows[small_r])
+    for q, r in ((~small_q, np.ones(len(rows), bool)), (small_q, ~small_r)):
+        if q.any() and r.any():
+            exact = queries[q].astype(object) @ rows[r].astype(object).T
+            out[np.ix_(q, r)] = np.clip(exact, -LIMIT, LIMIT).astype(np.int64)
+    return out
+
+
+def _tame_products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
     for kind, limit in ((np.float32, 2.0**24), (np.float64, 2.0**53)):
         if most < limit:
@@ -76,15 +104,16 @@ def _scores(batches: Iterator[pa.RecordBatch], scale: float, block: dict[int, tu
 
 def _histogram(spark, rows: DataFrame, scale: float, block, low: np.ndarray, high: np.ndarray, width: np.ndarray, need: np.ndarray) -> list:
     """For each query: the bin that holds the score of rank ``need`` from the top, and how many are above
-    that bin, of scores from low to high (exclusive). Bin b begins at low + b * width."""
+    that bin, of scores from low to high (``ordered``). Bin b begins at low + b * width."""
     sent = spark.sparkContext.broadcast((block, low, high, width, need))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, low, high, width, need = sent.value
         counts = np.zeros((len(low), BINS), np.int64)
         for places, _, scores, own in _scores(batches, scale, block):
-            q, r = np.nonzero((scores >= low[places][:, None]) & (scores < high[places][:, None]) & ~own)
-            bins = (scores[q, r] - low[places][q]) // width[places][q]
+            scores = ordered(scores)
+            q, r = np.nonzero((scores >= low[places][:, None]) & (scores <= high[places][:, None]) & ~own)
+            bins = ((scores[q, r] - low[places][q]) // width[places][q]).astype(np.int64)
             counts[places] += np.bincount(q * BINS + bins, minlength=len(places) * BINS).reshape(-1, BINS)
         below = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts  # above each bin, in this partition
         q, b = np.nonzero((counts > 0) & (below < need[:, None]))
@@ -107,15 +136,17 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     vec_id. Rows with a null id, a null vector, or a null or non-finite component take no part; vectors
     of different lengths have no score; rows of a query's own id are not its candidates. A query id that
     occurs in several rows is asked once, with its smallest vector; repeated candidates are rows of
-    their own. Scores beyond the range of a long wrap around. Fewer than k candidates are all returned;
-    an empty table gives an empty result. Queries go in blocks of about ``query_block``; a scan of the table
-    holds one block's vectors and bins.
+    their own. Components and scores beyond the range of a long stay at its bounds. Fewer than k candidates are all
+    returned; an empty table gives an empty result; other columns are ignored whatever their names. Queries go in
+    blocks of about ``query_block``, each with a few scans of the table that hold the block's vectors and bins; what a
+    block finds is written before the next.
     """
     spark = df.sparkSession
     rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("vector"))
     asked = df.where(is_query).select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("vector"))
     good = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     asked = asked.where(F.col("vec_id").isNotNull() & good).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = materialise(asked, "topk-queries")
     blocks = max(1, -(-asked.count() // query_block))
     out = None
     for b in range(blocks):
@@ -143,25 +174,24 @@ def _block(spark, rows: DataFrame, asked: DataFrame, k: int, scale: float) -> Da
     if not count:
         return spark.createDataFrame([], schema).selectExpr("query_id", "0 as rank", "vec_id", "score")
     bound = _bound(rows, scale, block)
-    low = np.full(count, -bound, np.int64)
-    high = np.full(count, bound + 1, np.int64)
+    low, high = (np.full(count, ordered(np.array([x], np.int64))[0]) for x in (-bound, bound))
     need = np.full(count, k, np.int64)
     short = np.zeros(count, bool)
     first = True
-    while first or (high - low).max(initial=0) > 1:
-        width = np.maximum(1, -(-(high - low) // BINS))
+    while first or (high > low).any():
+        width = (high - low) // np.uint64(BINS) + np.uint64(1)
         seen = np.zeros(count, bool)
         for r in _histogram(spark, rows, scale, block, low, high, width, need):
             q = r["q"]
             seen[q] = True
-            low[q] += r["bin"] * width[q]
-            high[q] = min(high[q], low[q] + width[q])
+            low[q] += np.uint64(r["bin"]) * width[q]
+            high[q] = min(int(high[q]), int(low[q]) + int(width[q]) - 1)
             need[q] -= r["above"]
         if first:
             short = ~seen
-            low[short], high[short] = -bound - 1, -bound  # fewer than k: all are above
+            low[short], high[short] = 0, 0  # fewer than k: all are above
         first = False
-    sent = spark.sparkContext.broadcast((block, low, np.where(short, 0, need), np.array(ids_at, np.int64)))
+    sent = spark.sparkContext.broadcast((block, (low ^ SIGN).view(np.int64), np.where(short, 0, need), np.array(ids_at, np.int64)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, kth, ties, names = sent.value
@@ -188,7 +218,10 @@ def _block(spark, rows: DataFrame, asked: DataFrame, k: int, scale: float) -> Da
             yield out(q, np.concatenate([np.array(v, np.int64) for v in equal.values()]), kth[q])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.mapInArrow(keep, schema).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = rows.mapInArrow(keep, schema).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = materialise(found.select("query_id", "rank", "vec_id", "score"), "topk")
+    sent.destroy()
+    return found
 
 
 def _bound(rows: DataFrame, scale: float, block) -> int:
@@ -208,4 +241,4 @@ def _bound(rows: DataFrame, scale: float, block) -> int:
     for r in rows.mapInArrow(run, "dim int, norm double").where(F.col("dim").isin([int(d) for d in block])).groupBy("dim").agg(F.max("norm").alias("norm")).collect():
         own = float(np.sqrt((block[r["dim"]][2].astype(np.float64) ** 2).sum(axis=1)).max(initial=0))
         most = max(most, own * r["norm"])
-    return int(min(most * 1.000001 + 1, LIMIT))
+    return int(min(most * 1.000001 + 1, float(LIMIT))) if most < 9e18 else LIMIT
