@@ -93,11 +93,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).when(a.isNotNull() & b.isNotNull(), plain)
 
 
-def _bucket(bounds: list[float], number: Column) -> Column:
+def _bucket(bounds: list[int], number: Column) -> Column:
     """How many bounds (ascending) are at most ``number``, by bisection."""
     if not bounds:
         return F.lit(0)
-    steps, limits = len(bounds).bit_length(), F.array(*map(F.lit, bounds))
+    steps, limits = len(bounds).bit_length(), F.array(*[F.lit(b).cast("long") for b in bounds])
 
     def step(s: Column, _: Column) -> Column:
         middle = ((s["low"] + s["high"]) / 2).cast("int")
@@ -107,31 +107,32 @@ def _bucket(bounds: list[float], number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), step, lambda s: s["low"])
 
 
-def with_next(docs: DataFrame, id_col: str, payload: list[str]) -> DataFrame:
-    """docs (id_col and payload columns) with next, a struct of the payload of the row that follows by id,
-    then by payload; the first row follows the last.
+def with_next(docs: DataFrame, id_col: str, text_col: str, made: dict[str, Column]) -> DataFrame:
+    """docs (long ids and texts) with the columns ``made`` of each row, and next, a struct of the text and these columns
+    of the row that follows by id (null first), then by text; the first row follows the last.
 
     Rows are dealt to buckets that hold a range of ids each, cut at quantiles, and the first row of each
     bucket is added to the end of the one before it; so one shuffle moves every row once, and no task
-    sorts more than a bucket.
+    sorts more than a bucket. Ids are compared as longs; only the place of the cuts is approximate. Columns are made
+    after the few rows that are added have been found, once a row.
     """
     spark = docs.sparkSession
     wanted = min(MAX_BUCKETS, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    number = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
     quantiles = docs.select(F.col(id_col).cast("double").alias("x")).where("x is not null").approxQuantile("x", [i / wanted for i in range(1, wanted)], 0.25 / wanted)
-    bounds = sorted(set(quantiles))
-    held = docs.withColumn("_bucket", _bucket(bounds, number))
+    bounds = sorted({max(-(2**63), min(2**63 - 1, int(q))) for q in quantiles})
+    held = docs.withColumn("_bucket", F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(_bucket(bounds, F.col(id_col))))
+    # a null sorts before all ids: a struct of (is not null, id) has their order
+    place = F.struct(F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"))
     # at most MAX_BUCKETS rows from here to the broadcast
-    firsts = held.groupBy("_bucket").agg(F.min(number).alias("_first"))
+    firsts = held.groupBy("_bucket").agg(F.min(place).alias("_first"))
     order = Window.orderBy("_bucket")
     firsts = firsts.withColumn("_to", F.lag("_bucket").over(order)).withColumn("_last", F.max("_bucket").over(Window.partitionBy()))
     firsts = firsts.select(F.col("_bucket").alias("_own"), "_first", F.coalesce("_to", "_last").alias("_to"))
-    guests = held.join(F.broadcast(firsts), (F.col("_bucket") == F.col("_own")) & (number == F.col("_first")))
-    value = F.struct(*payload)
-    guests = guests.groupBy("_to").agg(F.min(value).alias("_value")).select(F.lit(None).cast(docs.schema[id_col].dataType).alias(id_col), *[F.col("_value")[c].alias(c) for c in payload], F.col("_to").alias("_bucket"), F.lit(1).alias("_guest"))
-    every = held.withColumn("_guest", F.lit(0)).unionByName(guests)
-    by_id = Window.partitionBy("_bucket").orderBy("_guest", F.col(id_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in payload])
-    return every.withColumn("next", F.lead(value).over(by_id)).where("_guest = 0").drop("_guest", "_bucket")
+    guests = held.join(F.broadcast(firsts), (F.col("_bucket") == F.col("_own")) & (place == F.col("_first")))
+    guests = guests.groupBy("_to").agg(F.min(text_col).alias(text_col)).select(F.lit(None).cast("long").alias(id_col), text_col, F.col("_to").alias("_bucket"), F.lit(1).alias("_guest"))
+    every = held.select(id_col, text_col, "_bucket", F.lit(0).alias("_guest")).unionByName(guests).withColumns(made)
+    by_id = Window.partitionBy("_bucket").orderBy("_guest", F.col(id_col).asc_nulls_first(), text_col)
+    return every.withColumn("next", F.lead(F.struct(text_col, *made)).over(by_id)).where("_guest = 0").drop("_guest", "_bucket")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,9 +144,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half is the beginning of the next
     document, with their likeness and that of the next document's. Null ids come first; documents of one
-    id follow each other by text; a single document is its own next."""
+    id follow each other by text (and meet in one task's sort); a single document is its own next. Null texts count as empty, texts
+    are taken whole whatever their length, other columns are ignored whatever their names, and an empty table gives an
+    empty result."""
     held = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    held = with_next(held.withColumn("fingerprint", fingerprint(F.col("text"))), "doc_id", ["text", "fingerprint"])
+    held = with_next(held, "doc_id", "text", {"fingerprint": fingerprint(F.col("text"))})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr(F.col("next")["text"], F.lit(1), half))
     held = held.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited)
