@@ -6,7 +6,9 @@ t_i, possibly -1 (not searched), such that the t_i + 1 sum to tau + 1: two finge
 then within t_i bits in some partition i. Dynamic programming allots the thresholds by the number
 of candidates that each would bring, estimated from histograms of all fingerprints. Every fingerprint is
 stored under its value in each searched partition and probes the values within t_i bits of it; what
-meets is verified. Only distinct fingerprints take part, so exact copies cost nothing here.
+meets is verified. Only distinct fingerprints take part, so exact copies cost nothing here. Values that many
+fingerprints share, by the same histograms, are divided by the pigeonhole principle once more: of tau + 1 groups of the
+other bits, two linked fingerprints agree on one, so they meet in one of tau + 1 smaller buckets.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.llm.common import ASCII_LOWER, materialise, skew_safe_lookup
@@ -34,6 +36,8 @@ FOLD = 16
 #: Rows of a bucket up to which all pairs are compared at once; larger buckets are searched from one
 #: fingerprint to its neighbours, each of which is then done with.
 SMALL = 48
+#: Fingerprints of one value from which its bucket is divided.
+HEAVY = 20_000
 
 BITS = np.arange(64, dtype=np.uint64)
 
@@ -134,8 +138,9 @@ def near_pairs(histogram: np.ndarray, width: int, most: int) -> list[float]:
     return out
 
 
-def plan_search(prints: DataFrame, tau: int) -> tuple[list[list[int]], list[int]]:
-    """Partitions (their bits) and thresholds. prints: distinct fingerprints (column f)."""
+def plan_search(prints: DataFrame, tau: int) -> tuple[list[list[int]], list[int], list[np.ndarray]]:
+    """Partitions (their bits), thresholds, and for each partition the values, as far as histograms resolve them, that
+    HEAVY fingerprints or more share. prints: distinct fingerprints (column f)."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((64, 65))
@@ -170,14 +175,15 @@ def plan_search(prints: DataFrame, tau: int) -> tuple[list[list[int]], list[int]
     # one table for each partition weighed, of at most 2 ** FOLD numbers
     table = prints.mapInArrow(histograms, "k int, v int, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).toArrow()
     ks, vs, ns = (table.column(c).to_numpy() for c in ("k", "v", "n"))
-    best: tuple[float, int, list[int]] | None = None
-    for m, parts in groups.items():
-        costs = []
+    best: tuple[float, int, list[int], list[np.ndarray]] | None = None
+    for m in groups:
+        costs, heavy = [], []
         for k, (own, _, bits) in enumerate(flat):
             if own != m:
                 continue
             histogram = np.zeros(1 << min(FOLD, len(bits)), np.int64)
             histogram[vs[ks == k]] = ns[ks == k]
+            heavy.append(histogram >= HEAVY)
             most = min(tau, 2 if m > 2 else 3)
             pairs = near_pairs(histogram, len(bits), most)
             probes = np.cumsum([comb(len(bits), t) for t in range(most + 1)])
@@ -187,8 +193,8 @@ def plan_search(prints: DataFrame, tau: int) -> tuple[list[list[int]], list[int]
             continue
         cost, thresholds = allot(costs, tau)
         if best is None or cost < best[0]:
-            best = cost, m, thresholds
-    return groups[best[1]], best[2]
+            best = cost, m, thresholds, heavy
+    return groups[best[1]], best[2], best[3]
 
 
 # -- probing and verifying
@@ -240,17 +246,27 @@ def links_of_sorted(keys: np.ndarray, prints: np.ndarray, probes: np.ndarray, ta
 def near_links(prints: DataFrame, tau: int = TAU) -> DataFrame:
     """(u, v): links of distinct fingerprints (column f, longs) that connect exactly those that a chain of
     steps of at most tau bits connects."""
-    groups, thresholds = plan_search(prints, tau)
+    groups, thresholds, heavy = plan_search(prints, tau)
     chosen = [(i, bits, t) for i, (bits, t) in enumerate(zip(groups, thresholds, strict=True)) if t >= 0]
+    others = {i: [[b for b in range(64) if b not in bits][g :: tau + 1] for g in range(tau + 1)] for i, bits, _ in chosen}
+
+    def keyed(i: int, bits: list[int], value: np.ndarray, own: np.ndarray, probe: bool) -> Iterator[pa.RecordBatch]:
+        large = heavy[i][(value & np.uint64(len(heavy[i]) - 1)).astype(np.int64)]
+        if not large.all():
+            yield _keyed(i, value[~large], own[~large], probe)
+        if large.any():
+            for g, rest in enumerate(others[i]):
+                finer = value[large] | project(own[large].view(np.uint64), rest) << np.uint64(len(bits))
+                yield _keyed(i + len(groups) * (g + 1), finer, own[large], probe)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(0).to_numpy(zero_copy_only=False)
             for i, bits, t in chosen:
                 value = project(own.view(np.uint64), bits)
-                yield _keyed(i, value, own, False)
+                yield from keyed(i, bits, value, own, False)
                 for other in within(value, len(bits), t):
-                    yield _keyed(i, other, own, True)
+                    yield from keyed(i, bits, other, own, True)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -258,7 +274,7 @@ def near_links(prints: DataFrame, tau: int = TAU) -> DataFrame:
             if not b.num_rows:
                 continue
             part, value, own, probe = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            key = part.astype(np.uint64) << np.uint64(60) ^ value.view(np.uint64)
+            key = part.astype(np.uint64) << np.uint64(56) ^ value.view(np.uint64)
             last = np.flatnonzero(key != key[-1])
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut or held and held[-1][0][-1] != key[0]:
@@ -304,7 +320,8 @@ def near_groups(docs: DataFrame, key, text_col: str = "text", tau: int = TAU) ->
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """(doc_id, fingerprint as 16 hexadecimal digits, component_id) of every row of docs; repeated rows and
-    null ids are kept; other columns are ignored; an empty table gives an empty result."""
+    null ids are kept; other columns are ignored; an empty table gives an empty result; a null text is empty, and a long
+    one is hashed whole."""
     out = near_groups(docs, docs[id_col].cast("long"), text_col, tau)
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("group").alias("component_id"))
 
@@ -319,6 +336,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     own = {"_none": "none", "_id": "id", "_hash": "hash"}
     kept = groups.where(F.col("key").eqNullSafe(F.col("group"))).select(*[F.coalesce(F.col("key")[v], F.lit(0).cast("long") if v == "id" else F.col("key")[v]).alias(k) for k, v in own.items()]).distinct()
     marked = docs.select(F.struct("*").alias("_row"), number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(*docs.columns).alias("_hash"))
-    marked = marked.join(kept, [*own], "left_semi")
-    first = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0)))
-    return marked.withColumn("_first", first).where("_first = 1").select("_row.*")
+    # equal rows become one before they are shuffled, however many there are
+    return marked.groupBy(*own).agg(F.first("_row").alias("_row")).join(kept, [*own], "left_semi").select("_row.*")
