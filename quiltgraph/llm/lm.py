@@ -1,12 +1,16 @@
 """Language-model scoring: a hashed maximum-entropy model with class-factored softmax.
 
-A token's probability is that of its class, given the tokens before it, times its share of the class. Classes
-are predicted by a softmax whose features (the last token, the one before it, and both together) are
-hashed into the rows of a weight table. Words are put in classes by the kind of texts that they occur in and
-by frequency; rare words, which are no entries of the broadcast dictionary, by their last three bytes.
-
-Training is distributed: every partition takes gradient steps over its own tokens, and the tables are
-averaged by feature, weighted by how often each partition saw it. Counts are exact, for all words: those of
+A token's probability is that of its class, given the tokens before it, times that of the word within its class, given
+the same. Both factors are softmaxes over hashed features: the last token, the one before it, and both together. Classes are
+groups of words that occur in the same kinds of texts. The second softmax is factored once more: a class's words
+are the leaves of a tree of up to WIDTH branches, cut so that branches weigh about the same, and each node on a
+word's path is a softmax over its branches, with features hashed together with the node. So frequent words have short
+paths, every entry of the dictionary has a leaf of its own, and all probabilities add up to one. Rare words, which
+are no entries, are one leaf for each group, by their last three bytes, and have their plain share of it.
+
+Training is distributed: texts are dealt to shards of about SHARD tokens by a hash, and sorted by it, so results don't
+depend on files or partitions. Every shard takes gradient steps over its own tokens, and the tables are
+averaged by feature, weighted by how often each shard saw it. Counts are exact, for all words: those of
 rare words stay in a table, which scored texts are joined with.
 """
 
@@ -29,18 +33,24 @@ from quiltgraph.llm.common import materialise
 HEAD = 1 << 18
 #: Kinds of texts, by a hash of a text's most frequent word.
 KINDS = 16
-#: Groups that words are clustered into by kinds of texts, and frequency bands of a group.
-GROUPS, BANDS = 8, 6
+#: Groups that words are clustered into by kinds of texts.
+GROUPS = 8
+#: Branches of a node within a class.
+WIDTH = 16
 #: Suffixes that have a group of their own.
 SUFFIXES = 4096
-CLASSES = GROUPS * BANDS + GROUPS + 1  # bands, rare words by group, the end
-#: Rows of the weight table; one more is always on.
-ROWS = 1 << 14
-RATE = 1.0
+CLASSES = 2 * GROUPS + 1  # words by group, rare words by group, the end
+#: Rows of either weight table, of classes and of nodes; one more is always on. 16 bits are sorted by radix.
+ROWS = 1 << 16
+RATE = 0.6
 #: Tokens of a gradient step, and of a scored batch.
 STEP, BATCH = 2048, 8192
-#: Rows of the weight table that are summed together when tables are averaged.
-BLOCK = 64
+#: Tokens of a shard, about.
+SHARD = 4_000_000
+#: Rows of the weight tables that are summed together when tables are averaged.
+BLOCK = 1024
+#: Occurrences from which the kinds of texts that a word occurs in tell its group; of others, their suffix does.
+PROFILED = 8
 #: Words counted in memory before they are handed on.
 HELD = 250_000
 
@@ -60,22 +70,17 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, kind, n) of a table with the one column text; kind -1 has the exact counts of all words and of the
-    end (an empty word), the others, for words frequent where they were counted, counts by kind of text."""
+    """(word, n, k0, k1, ..) of a table with the one column text: how often each word occurs, in all and by kind of text;
+    the empty word counts the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: list[Counter] = [Counter() for _ in range(KINDS)]
         ends = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            total: Counter = Counter()
-            for c in kinds:
-                total.update(c)
-            yield _counted(list(total), -1, list(total.values()))
             for k, c in enumerate(kinds):
-                often = [w for w in c if total[w] >= 8]
-                if often:
-                    yield _counted(often, k, [c[w] for w in often])
+                if c:
+                    yield _counted(list(c), k, list(c.values()))
                 c.clear()
 
         for b in batches:
@@ -83,16 +88,18 @@ def count_words(texts: DataFrame) -> DataFrame:
                 for text in portion:
                     own = Counter(tokens(text))
                     if own:
-                        first = max(own.items(), key=lambda x: (x[1], x[0]))[0]
-                        kinds[zlib.crc32(first) % KINDS].update(own)
+                        most = max(own.values())
+                        kinds[zlib.crc32(max(w for w, n in own.items() if n == most)) % KINDS].update(own)
                 ends += len(portion)
                 if sum(map(len, kinds)) > HELD:
                     yield from flush()
         yield from flush()
         if ends:
-            yield _counted([b""], -1, [ends])
+            yield _counted([b""], 0, [ends])
 
-    return texts.mapInArrow(run, "word binary, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(run, "word binary, kind int, n long").repartition("word")
+    by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"k{k}") for k in range(KINDS)]
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), *by_kind)
 
 
 def _counted(words: list[bytes], kind: int, n: list[int]) -> pa.RecordBatch:
@@ -113,12 +120,48 @@ class Vocabulary:
     own: np.ndarray  # log10 of a token's share of its class; 0 for rare words, whose share is joined
     base: np.ndarray  # log10 of the base probability; 0 for rare words
     bias: np.ndarray  # log of each class's share of all tokens
+    path: np.ndarray  # where each word's path begins in nodes and branches; one more for the last one's end
+    nodes: np.ndarray
+    branches: np.ndarray
+    shares: np.ndarray  # log of each branch's share of its node; far below any where there is no branch
 
     @property
     def end(self) -> int:
         return len(self.words) + GROUPS
 
 
+def grow(words: list[np.ndarray], mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """path, nodes, branches and shares of the words of each class, given in the order in which they are cut. A node's words
+    are cut into WIDTH parts of about equal mass, none empty."""
+    steps: list[tuple[np.ndarray, int, int]] = []  # words, node, branch; by depth, so paths come in order
+    shares: list[np.ndarray] = []
+    level = [own for own in words if len(own) > 1]
+    while level:
+        below = []
+        for own in level:
+            sums = np.cumsum(mass[own])
+            cuts = np.searchsorted(sums, sums[-1] / WIDTH * np.arange(1, WIDTH), side="right")
+            # at least one word a part, as long as there are words
+            parts = min(WIDTH, len(own))
+            cuts = np.maximum.accumulate(cuts[: parts - 1] - np.arange(1, parts)) + np.arange(1, parts)
+            cuts = np.minimum(np.maximum(cuts, np.arange(1, parts)), len(own) - parts + np.arange(1, parts))
+            share = np.full(WIDTH, -1e4, np.float32)
+            for branch, part in enumerate(np.split(own, cuts)):
+                share[branch] = np.log(mass[part].sum() / sums[-1])
+                steps.append((part, len(shares), branch))
+                if len(part) > 1:
+                    below.append(part)
+            shares.append(share)
+        level = below
+    depth = np.zeros(len(mass), np.int64)
+    sizes = [len(part) for part, _, _ in steps]
+    of = np.concatenate([np.zeros(0, np.int64), *[part for part, _, _ in steps]]).astype(np.int64)
+    np.add.at(depth, of, 1)
+    order = np.argsort(of, kind="stable")
+    node, branch = (np.repeat(np.array([s[k] for s in steps], np.int64), sizes)[order] for k in (1, 2))
+    return np.concatenate([[0], np.cumsum(depth)]), node.astype(np.int32), branch.astype(np.int32), np.array(shares, np.float32).reshape(-1, WIDTH)
+
+
 def cluster(profile: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Groups of rows by k-means, started from rows far apart; the same each time."""
     if not len(profile):
@@ -141,9 +184,9 @@ def build_vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, D
     """The vocabulary; the counts of rare words with their group (word, n, g); N, V and, by group, the mass
     and the unknown mass of rare words."""
     spark = counts.sparkSession
-    exact = counts.where("kind = -1 and length(word) > 0").select("word", "n")
+    exact = counts.where("length(word) > 0").select("word", "n")
     figures = exact.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    ends = counts.where("kind = -1 and length(word) = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = counts.where("length(word) = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_tokens, n_types = figures["n"] + ends, figures["v"] + (1 if ends else 0)
     # how many words have each count up to 65536: that many rows at most
     by_count = sorted(((r["c"], r["k"]) for r in exact.groupBy(F.least("n", F.lit(65_536)).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
@@ -152,15 +195,12 @@ def build_vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, D
         if held + k > head:
             break
         least, held = c, held + k
-    table = exact.where(F.col("n") >= least).toArrow()  # head rows at most
-    pairs = sorted(zip(table.column("n").to_pylist(), table.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    words, c = [w for _, w in pairs], np.array([n for n, _ in pairs], np.float64)
-
-    profile = np.zeros((len(words), KINDS), np.float32)
-    heads = spark.createDataFrame(pa.table({"word": pa.array(words, pa.binary()), "i": pa.array(range(len(words)), pa.int32())}))
-    seen = counts.where("kind >= 0").join(F.broadcast(heads), "word").select("i", "kind", "n").toArrow()
-    profile[seen.column("i").to_numpy(), seen.column("kind").to_numpy()] = seen.column("n").to_numpy()
-    known = profile.sum(axis=1) > 0
+    table = counts.where((F.length("word") > 0) & (F.col("n") >= least)).toArrow()  # head rows at most
+    n, names = table.column("n").to_pylist(), table.column("word").to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (-n[i], names[i]))
+    words, c = [names[i] for i in order], np.array([n[i] for i in order], np.float64)
+    profile = np.stack([table.column(f"k{k}").to_numpy() for k in range(KINDS)], axis=1).astype(np.float32)[order]
+    known = c >= PROFILED
     profile[known] = np.sqrt(profile[known] / profile[known].sum(axis=1, keepdims=True))
     group = np.full(len(words), -1)
     group[known] = cluster(profile[known], c[known])
@@ -173,14 +213,9 @@ def build_vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, D
         group[i] = suffixes.get(words[i][-3:], 0)
 
     size = len(words)
-    class_of = np.zeros(size + GROUPS + 1, np.int32)
-    for g in range(GROUPS):
-        own = np.flatnonzero(group == g)  # by falling frequency
-        if len(own):
-            share = np.cumsum(c[own]) / c[own].sum()
-            class_of[own] = g * BANDS + np.minimum(BANDS - 1, (share - c[own] / c[own].sum()) * BANDS).astype(np.int32)
-    class_of[size : size + GROUPS] = GROUPS * BANDS + np.arange(GROUPS)
-    class_of[size + GROUPS] = CLASSES - 1
+    class_of = np.concatenate([group, GROUPS + np.arange(GROUPS), [CLASSES - 1]]).astype(np.int32)
+    by_suffix = np.array(sorted(range(size), key=lambda i: (words[i][::-1], i)), np.int64)
+    tree = grow([by_suffix[group[by_suffix] == g] for g in range(GROUPS)], np.concatenate([c + 0.5, np.zeros(GROUPS + 1)]))
 
     ending = spark.createDataFrame(pa.table({"suffix": pa.array(list(suffixes), pa.binary()), "g": pa.array(list(suffixes.values()), pa.int32())}))
     rare = exact.where(F.col("n") < least).withColumn("suffix", F.substring("word", -3, 3)).join(F.broadcast(ending), "suffix", "left")
@@ -193,9 +228,9 @@ def build_vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, D
     own = np.concatenate([np.log10((c + 0.5) / in_class[class_of[:size]]), np.zeros(GROUPS + 1)])
     base = np.concatenate([np.log10((c + 0.5) / d), np.zeros(GROUPS), [np.log10((ends + 0.5) / d)]])
     of_class = np.bincount(class_of[:size], c, minlength=CLASSES) + 0.5
-    of_class[GROUPS * BANDS : -1] += rare_tokens
+    of_class[GROUPS:-1] += rare_tokens
     of_class[-1] += ends
-    vocabulary = Vocabulary(words, suffixes, class_of, own, base, np.log(of_class / of_class.sum()).astype(np.float32))
+    vocabulary = Vocabulary(words, suffixes, class_of, own, base, np.log(of_class / of_class.sum()).astype(np.float32), *tree)
     return vocabulary, rare, {"n": n_tokens, "v": n_types, "ends": ends, "d": d, "rare": mass + new, "new": new}
 
 
@@ -226,33 +261,73 @@ class Encoder:
         return ids, rare
 
 
-def features(ids: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
-    """(tokens, 3) rows of the weight table: the last token, the one before it, both. first marks the first
-    token of a text; what is before it is ``begin``."""
+A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+SHIFT = np.uint64(64 - ROWS.bit_length() + 1)
+
+
+def hashes(ids: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
+    """(tokens, 3) hashes of the features: the last token, the one before it, both. first marks the first token of a
+    text; what is before it is ``begin``."""
     one = np.empty(len(ids), np.uint64)
     one[1:], one[:1] = ids[:-1], begin
     one[first] = begin
     two = np.empty(len(ids), np.uint64)
     two[1:], two[:1] = one[:-1], begin
     two[first] = begin
-    a, b, c = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-    shift = np.uint64(64 - ROWS.bit_length() + 1)
-    return np.stack([(one + np.uint64(1)) * a >> shift, (two + np.uint64(7)) * b >> shift, ((one * a) ^ (two * b + c)) * c >> shift], axis=1).astype(np.int32)
+    return np.stack([(one + np.uint64(1)) * A, (two + np.uint64(7)) * B, ((one * A) ^ (two * B + C)) * C], axis=1)
+
+
+def features(ids: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
+    """(tokens, 3) rows of the table of classes."""
+    return (hashes(ids, first, begin) >> SHIFT).astype(np.int32)
+
+
+def steps_down(v: Vocabulary, ids: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all steps on the paths of the tokens: (steps, 3) rows of the table of nodes, the node, the branch taken, and the
+    token's index."""
+    begin, end = v.path[ids], v.path[ids + 1]
+    n = end - begin
+    token = np.repeat(np.arange(len(ids)), n)
+    at = np.arange(len(token)) + np.repeat(begin - np.cumsum(n) + n, n)
+    node = v.nodes[at]
+    mixed = (hashed.take(token, axis=0) ^ ((node.astype(np.uint64) + np.uint64(1)) * B)[:, None]) * A
+    return (mixed >> SHIFT).astype(np.int32), node, v.branches[at], token
 
 
-def class_logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def class_logits(table: np.ndarray, rows: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows and of what is always on: the last row, or the shares given."""
     z = table.take(rows[:, 0], axis=0)
     z += table.take(rows[:, 1], axis=0)
     z += table.take(rows[:, 2], axis=0)
-    z += table[ROWS]
+    z += table[ROWS] if given is None else given
     return z
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z - top), in place, its sums by row, and top: zero where that is safe, since maxima of short rows take longer
+    than all the rest."""
+    if z.max(initial=0) < 60:
+        held = np.exp(z)
+        sums = held @ np.ones(z.shape[1], np.float32)
+        if sums.min(initial=1) > 1e-30:
+            return held, sums, 0.0
+    top = z.max(axis=1, initial=-1e30)
+    z -= top[:, None]
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z, z.sum(axis=1), top
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    out, sums, _ = exponentials(z)
+    out /= sums[:, None]
+    return out
+
+
+def log_shares(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The logarithm of the target's probability in each row of logits."""
+    own = z[np.arange(len(z)), target].astype(np.float64)
+    _, sums, top = exponentials(z)
+    return own - top - np.log(sums.astype(np.float64))
 
 
 def sum_segments(values: np.ndarray, edge: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -273,10 +348,11 @@ class Trainer:
     def __init__(self, table: np.ndarray):
         self.table, self.squares, self.seen = table.copy(), np.full(len(table), 1e-2, np.float32), np.zeros(len(table), np.float32)
 
-    def step(self, rows: np.ndarray, target: np.ndarray) -> None:
-        g = softmax(class_logits(self.table, rows))
+    def step(self, rows: np.ndarray, target: np.ndarray, given: np.ndarray | None = None) -> None:
+        """One step for all rows of features; with ``given``, the row that is always on stays as it is."""
+        g = softmax(class_logits(self.table, rows, given))
         g[np.arange(len(target)), target] -= 1
-        flat = rows.ravel().astype(np.uint16)  # 16 bits are sorted by radix
+        flat = rows.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         sorted_rows = flat[order]
         edge = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
@@ -284,7 +360,8 @@ class Trainer:
         sums = sum_segments(g.take(order // 3, axis=0), edge, n)
         sums /= np.sqrt(n, dtype=np.float32)[:, None]
         self._move(sorted_rows[edge], sums, n)
-        self._move(np.array([ROWS]), g.sum(axis=0, keepdims=True) / np.sqrt(np.float32(len(target))), np.array([len(target)]))
+        if given is None:
+            self._move(np.array([ROWS]), g.sum(axis=0, keepdims=True) / np.sqrt(np.float32(len(target))), np.array([len(target)]))
 
     def _move(self, rows: np.ndarray, gradient: np.ndarray, n: np.ndarray) -> None:
         squares = self.squares[rows] + np.einsum("ij,ij->i", gradient, gradient)
@@ -322,28 +399,34 @@ def _portions(column: pa.Array, most: int = 400_000) -> Iterator[list[bytes | No
         yield out
 
 
-def train(texts: DataFrame, vocabulary, key: int, table: np.ndarray) -> np.ndarray:
-    """The weight table after one round: gradient steps in every partition, from ``table``, averaged.
-    vocabulary is a broadcast."""
+def train(texts: DataFrame, vocabulary, key: int, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The weight tables of classes and nodes after one round: gradient steps in every partition of texts, from
+    ``tables``, averaged. vocabulary is a broadcast."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(table)
-    width = CLASSES + 1
+    sent = spark.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        encoder, trainer, any_text = Encoder(v, key), Trainer(sent.value), False
+        encoder, classes, inner, any_text = Encoder(v, key), *map(Trainer, sent.value), False
         for b in batches:
             for portion in _portions(b.column(0)):
                 any_text = True
                 ids, first, _, _ = _flat(encoder, portion)
-                rows, target = features(ids, first, v.end + 1), v.class_of[ids]
+                hashed = hashes(ids, first, v.end + 1)
                 for i in range(0, len(ids), STEP):
-                    trainer.step(rows[i : i + STEP], target[i : i + STEP])
+                    part, own = hashed[i : i + STEP], ids[i : i + STEP]
+                    classes.step((part >> SHIFT).astype(np.int32), v.class_of[own])
+                    rows, node, branch, _ = steps_down(v, own, part)
+                    if len(rows):
+                        inner.step(rows, branch, v.shares.take(node, axis=0))
         if any_text:
             task = TaskContext.get().partitionId()
-            out = np.concatenate([trainer.table * trainer.seen[:, None], trainer.seen[:, None]], axis=1)
-            blocks = [i for i in range(0, len(out), BLOCK) if out[i : i + BLOCK, -1].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK for i in blocks], pa.int32()), pa.array([task] * len(blocks), pa.int32()), pa.array([out[i : i + BLOCK].tobytes() for i in blocks], pa.binary())], ["block", "task", "data"])
+            for which, t in enumerate((classes, inner)):
+                for i in range(0, len(t.table), BLOCK):
+                    if t.seen[i : i + BLOCK].any():
+                        seen = t.seen[i : i + BLOCK, None]
+                        data = np.concatenate([t.table[i : i + BLOCK] * seen, seen], axis=1).tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([i // BLOCK], pa.int32()), pa.array([task], pa.int32()), pa.array([data], pa.binary())], ["which", "block", "task", "data"])
 
     def add(pdf):
         import pandas as pd
@@ -352,49 +435,55 @@ def train(texts: DataFrame, vocabulary, key: int, table: np.ndarray) -> np.ndarr
         total = np.zeros(len(pdf["data"].iloc[0]) // 4, np.float64)
         for data in pdf["data"]:
             total += np.frombuffer(data, np.float32)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "task": [pdf["task"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"which": [pdf["which"].iloc[0]], "block": [pdf["block"].iloc[0]], "task": [pdf["task"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
 
-    schema = "block int, task int, data binary"
-    # two levels, so that no task sums more than a few thousand tables
-    parts = texts.mapInArrow(run, schema).groupBy("block", F.floor(F.col("task") / 256)).applyInPandas(add, schema)
-    summed = parts.groupBy("block").applyInPandas(add, schema).collect()  # one table, a few MB
+    schema = "which int, block int, task int, data binary"
+    # two levels, so that no task holds more than a few hundred blocks
+    parts = texts.mapInArrow(run, schema).groupBy("which", "block", F.floor(F.col("task") / 256)).applyInPandas(add, schema)
+    summed = parts.groupBy("which", "block").applyInPandas(add, schema).collect()  # the two tables, a few MB each
     sent.destroy()
-    out = table.copy()
+    out = tables[0].copy(), tables[1].copy()
     for r in summed:
-        own = np.frombuffer(r["data"], np.float32).reshape(-1, width)
+        table = out[r["which"]]
+        own = np.frombuffer(r["data"], np.float32).reshape(-1, table.shape[1] + 1)
         rows = slice(r["block"] * BLOCK, r["block"] * BLOCK + len(own))
         seen = own[:, -1:]
-        out[rows] = np.where(seen > 0, own[:, :-1] / np.maximum(seen, 1), out[rows])
+        table[rows] = np.where(seen > 0, own[:, :-1] / np.maximum(seen, 1), table[rows])
     return out
 
 
+def in_shards(texts: DataFrame, tokens: int) -> DataFrame:
+    """texts (text), dealt to shards of about SHARD of the given number of tokens by a hash, each sorted by it."""
+    place = F.xxhash64("text")
+    return texts.repartition(max(1, -(-tokens // SHARD)), place).sortWithinPartitions(place)
+
+
 PARTIAL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long"
 
 
-def score_texts(docs: DataFrame, vocabulary, key: int, table: np.ndarray, figures: dict) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary, key: int, tables: tuple[np.ndarray, np.ndarray], figures: dict) -> DataFrame:
     """docs: (doc_id, held_out, text). A row per text with the sums over the dictionary's words, whose column
     word is null, and a row for each rare word of a text; the column row ties them together."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = docs.sparkSession.sparkContext.broadcast(tables)
     known_end = int(figures["ends"] > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weights = vocabulary.value, sent.value
+        v, (classes, inner) = vocabulary.value, sent.value
         encoder, row = Encoder(v, key), TaskContext.get().partitionId() << 36
         size = len(v.words)
         for b in batches:
             at = 0
             for portion in _portions(b.column(2)):
                 ids, first, text, rare = _flat(encoder, portion)
-                rows, target, logs = features(ids, first, v.end + 1), v.class_of[ids], np.empty(len(ids))
+                hashed, logs = hashes(ids, first, v.end + 1), np.empty(len(ids))
                 for i in range(0, len(ids), BATCH):
-                    z = class_logits(weights, rows[i : i + BATCH])
-                    own = z[np.arange(len(z)), target[i : i + BATCH]].astype(np.float64)
-                    top = z.max(axis=1)
-                    z -= top[:, None]
-                    np.exp(z, out=z)
-                    logs[i : i + BATCH] = own - top - np.log(z.sum(axis=1, dtype=np.float64))
+                    part, own = hashed[i : i + BATCH], ids[i : i + BATCH]
+                    logs[i : i + BATCH] = log_shares(class_logits(classes, (part >> SHIFT).astype(np.int32)), v.class_of[own])
+                    rows, node, branch, token = steps_down(v, own, part)
+                    if len(rows):
+                        logs[i : i + BATCH] += np.bincount(token, log_shares(class_logits(inner, rows, v.shares.take(node, axis=0)), branch), minlength=len(own))
                 k = len(portion)
-                score = np.bincount(text, logs / np.log(10) + v.own[ids], minlength=k)
+                score = np.bincount(text, logs / np.log(10), minlength=k)
                 base = np.bincount(text, v.base[ids], minlength=k)
                 n = np.bincount(text, minlength=k)
                 known = np.bincount(text, (ids < size), minlength=k).astype(np.int64) + known_end
@@ -431,11 +520,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     vocabulary, rare, figures = build_vocabulary(counts, head)
     rare = materialise(rare, "lm-rare")
     sent, key = spark.sparkContext.broadcast(vocabulary), zlib.crc32(b"".join(vocabulary.words)) << 32 | len(vocabulary.words)
-    table = np.zeros((ROWS + 1, CLASSES), np.float32)
-    table[ROWS] = vocabulary.bias
+    tables = np.zeros((ROWS + 1, CLASSES), np.float32), np.zeros((ROWS + 1, WIDTH), np.float32)
+    tables[0][ROWS] = vocabulary.bias
     for _ in range(rounds):
-        table = train(training, sent, key, table)
-    partial = materialise(score_texts(own, sent, key, table, figures), "lm-scores")
+        tables = train(in_shards(training, figures["n"]), sent, key, tables)
+    partial = materialise(score_texts(own, sent, key, tables, figures), "lm-scores")
 
     unknown = spark.createDataFrame(list(vocabulary.suffixes.items()) or [(b"", 0)], "suffix binary, h int")
     shares = F.array(*[F.lit(float(x)) for x in figures["rare"]])
