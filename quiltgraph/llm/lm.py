@@ -10,7 +10,7 @@ are no entries, are one leaf for each group, by their last three bytes, and have
 
 Training is distributed: texts are dealt to shards of about SHARD tokens by a hash, and sorted by it, so results don't
 depend on files or partitions. Every shard takes gradient steps over its own tokens, and the tables are
-averaged by feature, weighted by how often each shard saw it. Counts are exact, for all words: those of
+averaged by feature, weighted by the squared gradients that each shard saw of it. Counts are exact, for all words: those of
 rare words stay in a table, which scored texts are joined with.
 """
 
@@ -43,6 +43,8 @@ CLASSES = 2 * GROUPS + 1  # words by group, rare words by group, the end
 #: Rows of either weight table, of classes and of nodes; one more is always on. 16 bits are sorted by radix.
 ROWS = 1 << 16
 RATE = 0.6
+#: What a feature's squared gradients start from.
+LEAST_SQUARE = np.float32(1e-2)
 #: Tokens of a gradient step, and of a scored batch.
 STEP, BATCH = 2048, 8192
 #: Tokens of a shard, about.
@@ -52,7 +54,7 @@ BLOCK = 1024
 #: Occurrences from which the kinds of texts that a word occurs in tell its group; of others, their suffix does.
 PROFILED = 8
 #: Words counted in memory before they are handed on.
-HELD = 250_000
+HELD = 400_000
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -86,10 +88,10 @@ def count_words(texts: DataFrame) -> DataFrame:
         for b in batches:
             for portion in _portions(b.column(0)):
                 for text in portion:
-                    own = Counter(tokens(text))
-                    if own:
-                        most = max(own.values())
-                        kinds[zlib.crc32(max(w for w, n in own.items() if n == most)) % KINDS].update(own)
+                    if own := tokens(text):
+                        seen = Counter(own)
+                        most = max(seen.values())
+                        kinds[zlib.crc32(max(w for w, n in seen.items() if n == most)) % KINDS].update(own)
                 ends += len(portion)
                 if sum(map(len, kinds)) > HELD:
                     yield from flush()
@@ -199,7 +201,8 @@ def build_vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, D
     n, names = table.column("n").to_pylist(), table.column("word").to_pylist()
     order = sorted(range(len(names)), key=lambda i: (-n[i], names[i]))
     words, c = [names[i] for i in order], np.array([n[i] for i in order], np.float64)
-    profile = np.stack([table.column(f"k{k}").to_numpy() for k in range(KINDS)], axis=1).astype(np.float32)[order]
+    profile = np.stack([table.column(f"k{k}").to_numpy().astype(np.float32) for k in range(KINDS)], axis=1)[order]
+    del table, names, n
     known = c >= PROFILED
     profile[known] = np.sqrt(profile[known] / profile[known].sum(axis=1, keepdims=True))
     group = np.full(len(words), -1)
@@ -237,36 +240,112 @@ def build_vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, D
 # -- the model
 
 
-_numbers: dict[int, dict[bytes, int]] = {}
+#: Bytes whose powers are kept, and the odd number whose powers they are.
+KEPT, ODD = 1 << 18, 0x2545F4914F6CDD1D
+INSIDE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+_powers: list[np.ndarray] = []
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial of each word's bytes modulo 2 ** 64, from sums over all bytes before its ends."""
+    power = lambda x, n: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, x, np.uint64))])
+    pair = _powers
+    if len(data) > KEPT or not _powers:
+        pair = [power(np.uint64(x), max(len(data), KEPT)) for x in (ODD, pow(ODD, -1, 1 << 64))]
+        if len(data) <= KEPT:
+            _powers[:] = pair
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data * pair[0][: len(data)], out=sums[1:])
+    out = (sums[ends] - sums[starts]) * pair[1][starts] + (ends - starts).astype(np.uint64) * B
+    return (out ^ out >> np.uint64(29)) * A
+
+
+def split_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, and a hash of each, which two words share with a probability of about
+    2 ** -64."""
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = INSIDE[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # some words at a time, so that memory doesn't grow with a text
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + KEPT, side="right")))
+        out[i:j] = _word_hashes(data[at : ends[j - 1]], starts[i:j] - at, ends[i:j] - at)
+        i = j
+    return starts, ends, out
+
+
+_numbers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 class Encoder:
-    """Words to numbers; the dictionary is built once in a worker process."""
+    """Words to numbers, by a table of hashes with linear probing that is built once in a worker process."""
 
     def __init__(self, vocabulary: Vocabulary, key: int):
         if key not in _numbers:
             _numbers.clear()
-            _numbers[key] = {w: i for i, w in enumerate(vocabulary.words)}
-        self.get, self.suffixes, self.size, self.end = _numbers[key].get, vocabulary.suffixes, len(vocabulary.words), vocabulary.end
-
-    def __call__(self, own: list[bytes]) -> tuple[list[int], list[bytes]]:
-        """Numbers of the words and the end; the rare words among them, in order."""
-        ids, rare = list(map(self.get, own)), []
-        if None in ids:
-            rare = [w for w, i in zip(own, ids, strict=True) if i is None]
-            find, size = self.suffixes.get, self.size
-            groups = iter([size + find(w[-3:], 0) for w in rare])
-            ids = [next(groups) if i is None else i for i in ids]
-        ids.append(self.end)
-        return ids, rare
-
-
-A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+            _numbers[key] = self._table(vocabulary.words)
+        self.keys, self.values = _numbers[key]
+        self.suffixes, self.size, self.end = vocabulary.suffixes, len(vocabulary.words), vocabulary.end
+
+    @staticmethod
+    def _table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        hashed = split_words(b" ".join(words))[2]
+        bits = max(4, (4 * len(words)).bit_length())
+        keys, values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        left, home = np.arange(len(words)), (hashed >> np.uint64(64 - bits)).astype(np.int64)
+        while len(left):
+            slot = home[left]
+            free = np.flatnonzero(values[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)  # the first word for each free slot
+            keys[slot[free[one]]], values[slot[free[one]]] = hashed[left[free[one]]], left[free[one]]
+            left = np.delete(left, free[one])
+            home[left] = (home[left] + 1) & ((1 << bits) - 1)
+        return keys, values
+
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        out, left = np.full(len(hashed), -1, np.int32), None
+        slot = (hashed >> np.uint64(64 - (len(self.keys).bit_length() - 1))).astype(np.int64)
+        while left is None or len(left):
+            value = self.values[slot]
+            same = (self.keys[slot] == hashed) & (value >= 0)
+            on = np.flatnonzero(~same & (value >= 0))
+            out[same if left is None else left[same]] = value[same]
+            left = on if left is None else left[on]
+            hashed, slot = hashed[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+        """Numbers of all tokens, the mark of each text's first one, the text of each token, and the rare words with the
+        number of their text."""
+        own = b"\n".join([t or b"" for t in texts]).translate(LOWER)
+        starts, ends, hashed = split_words(own)
+        found = self.find(hashed)
+        bounds = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts])])
+        sizes = np.diff(np.searchsorted(starts, bounds)) + 1
+        text = np.repeat(np.arange(len(texts)), sizes)
+        last = np.cumsum(sizes) - 1
+        ids, word = np.empty(len(text), np.int32), np.ones(len(text), bool)
+        word[last], ids[last] = False, self.end
+        at = np.flatnonzero(found < 0)
+        odd = [own[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if odd:
+            found[at] = [self.size + self.suffixes.get(w[-3:], 0) for w in odd]
+        ids[word] = found
+        first = np.zeros(len(ids), bool)
+        first[last - sizes + 1] = True
+        return ids, first, text, list(zip(text[word][at].tolist(), odd, strict=True))
+
+
+A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SHIFT = np.uint64(64 - ROWS.bit_length() + 1)
 
 
 def hashes(ids: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
-    """(tokens, 3) hashes of the features: the last token, the one before it, both. first marks the first token of a
+    """(tokens, 2) hashes of the features: the last token, and the one before it. first marks the first token of a
     text; what is before it is ``begin``."""
     one = np.empty(len(ids), np.uint64)
     one[1:], one[:1] = ids[:-1], begin
@@ -274,16 +353,16 @@ def hashes(ids: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
     two = np.empty(len(ids), np.uint64)
     two[1:], two[:1] = one[:-1], begin
     two[first] = begin
-    return np.stack([(one + np.uint64(1)) * A, (two + np.uint64(7)) * B, ((one * A) ^ (two * B + C)) * C], axis=1)
+    return np.stack([(one + np.uint64(1)) * A, (two + np.uint64(7)) * B], axis=1)
 
 
 def features(ids: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
-    """(tokens, 3) rows of the table of classes."""
+    """(tokens, 2) rows of the table of classes."""
     return (hashes(ids, first, begin) >> SHIFT).astype(np.int32)
 
 
 def steps_down(v: Vocabulary, ids: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all steps on the paths of the tokens: (steps, 3) rows of the table of nodes, the node, the branch taken, and the
+    """Of all steps on the paths of the tokens: (steps, 2) rows of the table of nodes, the node, the branch taken, and the
     token's index."""
     begin, end = v.path[ids], v.path[ids + 1]
     n = end - begin
@@ -298,7 +377,6 @@ def class_logits(table: np.ndarray, rows: np.ndarray, given: np.ndarray | None =
     """Sums of the rows and of what is always on: the last row, or the shares given."""
     z = table.take(rows[:, 0], axis=0)
     z += table.take(rows[:, 1], axis=0)
-    z += table.take(rows[:, 2], axis=0)
     z += table[ROWS] if given is None else given
     return z
 
@@ -308,7 +386,7 @@ def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | fl
     than all the rest."""
     if z.max(initial=0) < 60:
         held = np.exp(z)
-        sums = held @ np.ones(z.shape[1], np.float32)
+        sums = np.einsum("ij->i", held)
         if sums.min(initial=1) > 1e-30:
             return held, sums, 0.0
     top = z.max(axis=1, initial=-1e30)
@@ -346,7 +424,7 @@ class Trainer:
     """Gradient steps with a rate for each feature that falls with its squared gradients so far."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.squares, self.seen = table.copy(), np.full(len(table), 1e-2, np.float32), np.zeros(len(table), np.float32)
+        self.table, self.squares = table.copy(), np.full(len(table), LEAST_SQUARE, np.float32)
 
     def step(self, rows: np.ndarray, target: np.ndarray, given: np.ndarray | None = None) -> None:
         """One step for all rows of features; with ``given``, the row that is always on stays as it is."""
@@ -357,32 +435,17 @@ class Trainer:
         sorted_rows = flat[order]
         edge = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         n = np.diff(np.append(edge, len(flat)))
-        sums = sum_segments(g.take(order // 3, axis=0), edge, n)
+        sums = sum_segments(g.take(order // 2, axis=0), edge, n)
         sums /= np.sqrt(n, dtype=np.float32)[:, None]
-        self._move(sorted_rows[edge], sums, n)
+        self._move(sorted_rows[edge], sums)
         if given is None:
-            self._move(np.array([ROWS]), g.sum(axis=0, keepdims=True) / np.sqrt(np.float32(len(target))), np.array([len(target)]))
+            self._move(np.array([ROWS]), g.sum(axis=0, keepdims=True) / np.sqrt(np.float32(len(target))))
 
-    def _move(self, rows: np.ndarray, gradient: np.ndarray, n: np.ndarray) -> None:
+    def _move(self, rows: np.ndarray, gradient: np.ndarray) -> None:
         squares = self.squares[rows] + np.einsum("ij,ij->i", gradient, gradient)
         self.squares[rows] = squares
         gradient *= (RATE / np.sqrt(squares))[:, None]
         self.table[rows] -= gradient
-        self.seen[rows] += n
-
-
-def _flat(encoder: Encoder, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Numbers of all tokens, the mark of first ones, the text of each, and the rare words of each text."""
-    ids, sizes, rare = [], [], []
-    for t in texts:
-        own, odd = encoder(tokens(t))
-        ids += own
-        sizes.append(len(own))
-        rare.append(odd)
-    ids = np.array(ids, np.int64)
-    first = np.zeros(len(ids), bool)
-    first[np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)] = True
-    return ids, first, np.repeat(np.arange(len(sizes)), sizes), rare
 
 
 def _portions(column: pa.Array, most: int = 400_000) -> Iterator[list[bytes | None]]:
@@ -400,46 +463,54 @@ def _portions(column: pa.Array, most: int = 400_000) -> Iterator[list[bytes | No
 
 
 def train(texts: DataFrame, vocabulary, key: int, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The weight tables of classes and nodes after one round: gradient steps in every partition of texts, from
-    ``tables``, averaged. vocabulary is a broadcast."""
+    """The weight tables of classes and nodes after one round: gradient steps over the texts of every shard (shard, text;
+    one after the other), from ``tables``, averaged. vocabulary is a broadcast."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(tables)
 
+    def tables_of(shard: int, trainers: tuple[Trainer, Trainer]) -> Iterator[pa.RecordBatch]:
+        for which, t in enumerate(trainers):
+            for i in range(0, len(t.table), BLOCK):
+                seen = t.squares[i : i + BLOCK, None] - LEAST_SQUARE
+                if seen.any():
+                    data = np.concatenate([t.table[i : i + BLOCK] * seen, seen], axis=1).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([i // BLOCK], pa.int32()), pa.array([shard], pa.int32()), pa.array([data], pa.binary())], ["which", "block", "shard", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        encoder, classes, inner, any_text = Encoder(v, key), *map(Trainer, sent.value), False
+        encoder, shard, trainers = Encoder(v, key), None, None
         for b in batches:
-            for portion in _portions(b.column(0)):
-                any_text = True
-                ids, first, _, _ = _flat(encoder, portion)
-                hashed = hashes(ids, first, v.end + 1)
-                for i in range(0, len(ids), STEP):
-                    part, own = hashed[i : i + STEP], ids[i : i + STEP]
-                    classes.step((part >> SHIFT).astype(np.int32), v.class_of[own])
-                    rows, node, branch, _ = steps_down(v, own, part)
-                    if len(rows):
-                        inner.step(rows, branch, v.shares.take(node, axis=0))
-        if any_text:
-            task = TaskContext.get().partitionId()
-            for which, t in enumerate((classes, inner)):
-                for i in range(0, len(t.table), BLOCK):
-                    if t.seen[i : i + BLOCK].any():
-                        seen = t.seen[i : i + BLOCK, None]
-                        data = np.concatenate([t.table[i : i + BLOCK] * seen, seen], axis=1).tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([i // BLOCK], pa.int32()), pa.array([task], pa.int32()), pa.array([data], pa.binary())], ["which", "block", "task", "data"])
+            of = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist() if len(of) else []
+            for begin, end in zip(edges, [*edges[1:], len(of)], strict=True):
+                if of[begin] != shard:
+                    if trainers:
+                        yield from tables_of(shard, trainers)
+                    shard, trainers = int(of[begin]), tuple(map(Trainer, sent.value))
+                for portion in _portions(b.column(1).slice(begin, end - begin)):
+                    ids, first, _, _ = encoder(portion)
+                    hashed = hashes(ids, first, v.end + 1)
+                    for i in range(0, len(ids), STEP):
+                        part, own = hashed[i : i + STEP], ids[i : i + STEP]
+                        trainers[0].step((part >> SHIFT).astype(np.int32), v.class_of[own])
+                        rows, node, branch, _ = steps_down(v, own, part)
+                        if len(rows):
+                            trainers[1].step(rows, branch, v.shares.take(node, axis=0))
+        if trainers:
+            yield from tables_of(shard, trainers)
 
     def add(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("task")
+        pdf = pdf.sort_values("shard")
         total = np.zeros(len(pdf["data"].iloc[0]) // 4, np.float64)
         for data in pdf["data"]:
             total += np.frombuffer(data, np.float32)
-        return pd.DataFrame({"which": [pdf["which"].iloc[0]], "block": [pdf["block"].iloc[0]], "task": [pdf["task"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"which": [pdf["which"].iloc[0]], "block": [pdf["block"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
 
-    schema = "which int, block int, task int, data binary"
+    schema = "which int, block int, shard int, data binary"
     # two levels, so that no task holds more than a few hundred blocks
-    parts = texts.mapInArrow(run, schema).groupBy("which", "block", F.floor(F.col("task") / 256)).applyInPandas(add, schema)
+    parts = texts.mapInArrow(run, schema).groupBy("which", "block", F.floor(F.col("shard") / 256)).applyInPandas(add, schema)
     summed = parts.groupBy("which", "block").applyInPandas(add, schema).collect()  # the two tables, a few MB each
     sent.destroy()
     out = tables[0].copy(), tables[1].copy()
@@ -448,14 +519,16 @@ def train(texts: DataFrame, vocabulary, key: int, tables: tuple[np.ndarray, np.n
         own = np.frombuffer(r["data"], np.float32).reshape(-1, table.shape[1] + 1)
         rows = slice(r["block"] * BLOCK, r["block"] * BLOCK + len(own))
         seen = own[:, -1:]
-        table[rows] = np.where(seen > 0, own[:, :-1] / np.maximum(seen, 1), table[rows])
+        table[rows] = np.where(seen > 0, own[:, :-1] / np.where(seen > 0, seen, 1), table[rows])
     return out
 
 
 def in_shards(texts: DataFrame, tokens: int) -> DataFrame:
-    """texts (text), dealt to shards of about SHARD of the given number of tokens by a hash, each sorted by it."""
-    place = F.xxhash64("text")
-    return texts.repartition(max(1, -(-tokens // SHARD)), place).sortWithinPartitions(place)
+    """(shard, text) of texts (doc_id, text), dealt to shards of about SHARD of the given number of tokens by a hash,
+    each sorted by it. A partition may have several shards, which are trained one after the other."""
+    shards = max(1, -(-tokens // SHARD))
+    held = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), "text", F.xxhash64("text", "doc_id").alias("place"))
+    return held.repartition(4 * shards, "shard").sortWithinPartitions("shard", "place").select("shard", "text")
 
 
 PARTIAL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long"
@@ -474,7 +547,7 @@ def score_texts(docs: DataFrame, vocabulary, key: int, tables: tuple[np.ndarray,
         for b in batches:
             at = 0
             for portion in _portions(b.column(2)):
-                ids, first, text, rare = _flat(encoder, portion)
+                ids, first, text, rare = encoder(portion)
                 hashed, logs = hashes(ids, first, v.end + 1), np.empty(len(ids))
                 for i in range(0, len(ids), BATCH):
                     part, own = hashed[i : i + BATCH], ids[i : i + BATCH]
@@ -490,7 +563,7 @@ def score_texts(docs: DataFrame, vocabulary, key: int, tables: tuple[np.ndarray,
                 numbers = pa.array(np.arange(row, row + k))
                 none = pa.nulls(k, pa.binary())
                 yield pa.RecordBatch.from_arrays([numbers, b.column(0).slice(at, k), b.column(1).slice(at, k), pa.array(n), pa.array(known), pa.array(base), pa.array(score), none, pa.nulls(k, pa.int64())], _NAMES)
-                odd = [(row + i, w, c) for i, x in enumerate(rare) if x for w, c in Counter(x).items()]
+                odd = [(row + i, w, c) for (i, w), c in Counter(rare).items()]
                 if odd:
                     of, words, times = zip(*odd, strict=True)
                     m = len(odd)
@@ -511,12 +584,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     base_score (smoothed word frequencies) and score (the model's), both log10 probabilities of the whole text.
     Unknown words count as one outcome in either: in the model, one for each group of rare words, with the mass
     of words seen once. A null text is empty; rows with a null id are learned from; repeated rows count each;
-    other columns are ignored; an empty table gives an empty result.
+    other columns are ignored; an empty table gives an empty result; long texts are read whole, in portions of texts.
     """
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), is_held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").cast("binary").alias("text"))
-    training = own.where(~F.col("held_out")).select("text")
-    counts = materialise(count_words(training), "lm-counts")
+    training = own.where(~F.col("held_out")).select("doc_id", "text")
+    counts = materialise(count_words(training.select("text")), "lm-counts")
     vocabulary, rare, figures = build_vocabulary(counts, head)
     rare = materialise(rare, "lm-rare")
     sent, key = spark.sparkContext.broadcast(vocabulary), zlib.crc32(b"".join(vocabulary.words)) << 32 | len(vocabulary.words)
