@@ -14,6 +14,8 @@ from quiltgraph.plans.storage import materialise
 DAMPING, BASE, UPDATES = 0.85, 0.15, 31
 #: Updates after which PageRank writes its table; in between, the plan just grows.
 CUT_EVERY = 8
+#: Out-edges of a vertex beyond which they are spread over several tasks.
+HUB_EDGES = 1_000_000
 #: Subgraphs, about, from which the diameter is searched at once.
 DIAMETER_BLOCK = 20_000
 
@@ -149,15 +151,21 @@ def pagerank(graph: Graph, iterations: int = UPDATES, mode: str = "sync") -> Dat
     else:
         a, b = (home.select(F.col("vertex_id").alias(end), F.col("partition_id").alias(p)) for end, p in (("src", "p"), ("dst", "q")))
         edges = edges.join(a, "src").join(b, "dst").withColumn("kind", (F.col("p") != F.col("q")).cast("int"))
-    own = home.select(F.col("vertex_id").alias("src"), F.col("vertex_id").alias("dst"), F.lit(1).cast("long").alias("degree"), F.lit(2).alias("kind"))
-    edges = edges.select("src", "dst", "degree", "kind").unionByName(own)
+    # a hub's edges are in several parts by their sink, and its rank is sent to each; the edge to itself knows of how many
+    spread = F.ceil(F.col("degree") / HUB_EDGES).cast("int")
+    hubs = not out.where(F.col("degree") > HUB_EDGES).isEmpty()
+    edges = edges.select("src", "dst", "degree", "kind", F.pmod(F.xxhash64("dst"), spread).cast("int").alias("part"), F.lit(1).alias("parts"))
+    own = home.join(out.select(F.col("src").alias("vertex_id"), spread.alias("parts")), "vertex_id", "left")
+    own = own.select(F.col("vertex_id").alias("src"), F.col("vertex_id").alias("dst"), F.lit(1).cast("long").alias("degree"), F.lit(2).alias("kind"), F.lit(0).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    key = ["src", "part"] if hubs else ["src"]
     parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = edges.repartition(parts, "src").persist()
-    state = home.select("vertex_id", F.lit(1.0).alias("w"), F.lit(0.0).alias("last"))
+    edges = edges.unionByName(own).repartition(parts, *key).persist()
+    state = own.select(F.col("src").alias("vertex_id"), F.lit(1.0).alias("w"), F.lit(0.0).alias("last"), "parts")
     for i in range(iterations):
-        moved = state.withColumnRenamed("vertex_id", "src").join(edges, "src")
+        sent = state.select(F.col("vertex_id").alias("src"), "w", "last", *([F.explode(F.expr("sequence(0, parts - 1)")).alias("part")] if hubs else []))
+        moved = sent.join(edges, key)
         share = F.when(F.col("kind") == 0, F.col("w")).when(F.col("kind") == 1, F.col("last")).otherwise(F.lit(0.0)) / F.col("degree")
-        state = moved.groupBy(F.col("dst").alias("vertex_id")).agg((F.lit(BASE) + F.lit(DAMPING) * F.sum(share)).alias("w"), F.max(F.when(F.col("kind") == 2, F.col("w"))).alias("last"))
+        state = moved.groupBy(F.col("dst").alias("vertex_id")).agg((F.lit(BASE) + F.lit(DAMPING) * F.sum(share)).alias("w"), F.max(F.when(F.col("kind") == 2, F.col("w"))).alias("last"), F.max("parts").alias("parts"))
         if (i + 1) % CUT_EVERY == 0 or i + 1 == iterations:
             state = materialise(state, "pagerank")
     edges.unpersist()

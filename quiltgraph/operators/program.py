@@ -19,6 +19,9 @@ from quiltgraph.operators.subgraphs import Subgraphs
 from quiltgraph.plans.loop import materialise_observed
 from quiltgraph.plans.storage import materialise
 
+#: Vertices, stubs and edges of a subgraph that a Python worker can hold; more is an error, not a lost executor.
+MAX_ELEMENTS = 20_000_000
+
 SCHEMA = "kind string, subgraph_id long, payload string, halted boolean"
 
 
@@ -93,8 +96,12 @@ def run_program(s: Subgraphs, compute: Compute, initial: Any = None, max_superst
     """((subgraph_id, value as JSON), a metrics row for each superstep).
 
     A subgraph that voted to halt is only called again when it has a message, and must vote anew. Messages come
-    sorted by their JSON. Reaching max_supersteps (default: no limit) is an error.
+    sorted by their JSON. Reaching max_supersteps (default: no limit) is an error, and so is a subgraph of more than
+    MAX_ELEMENTS vertices, stubs and edges.
     """
+    large = s.subgraphs.where(F.col("n_local") + F.col("n_remote") + F.col("n_edges") > MAX_ELEMENTS).select("subgraph_id").first()
+    if large:
+        raise ValueError(f"subgraph {large[0]} has more than {MAX_ELEMENTS} vertices, stubs and edges, which compute() would get in one worker; use the table forms or more partitions")
     held = materialise(structures(s), "structures")
     state = s.subgraphs.select("subgraph_id", F.lit("null").alias("payload"), F.lit(False).alias("halted"))
     mail = state.select(F.col("subgraph_id").alias("dst"), F.col("payload").alias("message")).limit(0)

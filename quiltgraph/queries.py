@@ -73,6 +73,53 @@ def _found(g: Graph) -> DataFrame:
     return made.find(g.vertices.select(F.col("vertex_id").alias("element"))).select("element", "root")
 
 
+def _vertex_values(g: Graph) -> DataFrame:
+    """Vertices with an out-edge get their number of out-edges as value, and then those with a large number another."""
+    first = access.with_values(g.vertices.select("vertex_id"), "vertex_id", analytics.degrees(g).where("out_degree > 0").withColumn("value", F.col("out_degree")))
+    return access.with_values(first, "vertex_id", first.where("value > 10").select("vertex_id", (-F.col("value")).alias("value")))
+
+
+def _edge_values(g: Graph) -> DataFrame:
+    edges = g.numbered_edges.select("edge_id", "src", "dst", F.lit(0).cast("long").alias("value"))
+    return access.with_values(edges, "edge_id", edges.where("src > dst").select("edge_id", (F.col("src") - F.col("dst")).alias("value"))).select("edge_id", "value")
+
+
+def _remote_values(s: Subgraphs) -> DataFrame:
+    """The local state of stubs: how many edges their owners have."""
+    values = s.graph.edges.groupBy(F.col("src").alias("vertex_id")).agg(F.count(F.lit(1)).alias("value"))
+    return access.with_values(s.remote_vertices.select("subgraph_id", "vertex_id"), "vertex_id", values)
+
+
+def _all_sets(g: Graph) -> DisjointSets:
+    made = DisjointSets.of(g.vertices.select(F.col("vertex_id").alias("element")))
+    return made.union(g.edges.select(F.col("src").alias("x"), F.col("dst").alias("y")))
+
+
+def _scaled_sizes(context: program.Context, messages: list[int]) -> None:
+    """A program that reads its initial input and runs for two supersteps."""
+    if context.superstep == 0:
+        context.send(context.subgraph_id, context.initial * len(context.vertices))
+    else:
+        context.value = sum(messages)
+        context.vote_to_halt()
+
+
+def _arrows(lines: DataFrame) -> DataFrame:
+    """A reader of one's own, for lines SRC>DST@PARTITION."""
+    parts = F.split("line", "[>@]")
+    src, dst, home = (F.get(parts, F.lit(i)).try_cast("bigint") for i in range(3))
+    return lines.select("line", (src.isNull() | dst.isNull() | home.isNull()).alias("bad"), src.alias("src"), home.cast("int").alias("partition_id"), F.array(F.struct(dst.alias("dst"))).alias("out"))
+
+
+def _read_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, path = tables.transitions(spark, sf_dir), work_dir(spark, "text-own")
+    home = g.vertices.select(F.col("vertex_id").alias("src"), "partition_id")
+    line = F.concat(F.col("src").cast("string"), F.lit(">"), F.col("dst").cast("string"), F.lit("@"), F.col("partition_id").cast("string"))
+    writers.write_lines(g.edges.join(home, "src").select("partition_id", line.alias("value")), path)
+    back = read_graph(spark, path, _arrows)
+    return back.edges.join(back.vertices.select(F.col("vertex_id").alias("src"), "partition_id"), "src").select("src", "dst", "partition_id")
+
+
 def _program(compute: program.Compute) -> Callable[[Subgraphs], DataFrame]:
     return lambda s: program.run_program(s, compute)[0].select("subgraph_id", F.col("value").cast("long").alias("value"))
 
@@ -87,7 +134,7 @@ def _valued(g: Graph, maps: bool = False) -> Graph:
     return Graph(g.vertices.withColumn("value", value("v", "vertex_id")), g.numbered_edges.withColumn("value", value("e", "edge_id")), g.declared)
 
 
-def _round_trip(format: str) -> Query:
+def _round_trip(format: str, split: bool = True) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g, path = tables.transitions(spark, sf_dir), work_dir(spark, f"text-{format}")
         if format == "tables":
@@ -103,7 +150,7 @@ def _round_trip(format: str) -> Query:
         else:
             writers.write_lines(writers.adjacency_lines(g), path)
         own = f"{path}/*" if format in ("json_map", "adj_by_file") else path
-        back = read_graph(spark, own, format, partitions=tables.PARTITIONS)
+        back = read_graph(spark, own, format, partitions=tables.PARTITIONS, split=split)
         v = back.vertices.select(F.col("vertex_id").alias("src"), "partition_id", *([F.col("value").alias("v")] if "value" in back.vertices.columns else []))
         rows = back.numbered_edges.join(v, "src")
         if format == "json":
@@ -115,7 +162,7 @@ def _round_trip(format: str) -> Query:
     return run
 
 
-G1, G2, G3 = tables.geo, tables.copurchase, tables.transitions
+G1, G2, G3, G4 = tables.geo, tables.copurchase, tables.transitions, tables.purchases
 
 QUERIES: dict[str, Query] = {
     "vertex_count": of_graph(G2, analytics.vertex_count),
@@ -168,6 +215,22 @@ QUERIES: dict[str, Query] = {
     "read_json_map": _round_trip("json_map"),
     "read_edgelist": _round_trip("edgelist"),
     "read_tables": _round_trip("tables"),
+    "read_not_split": _round_trip("adj", split=False),
+    "read_own_format": _read_own,
+    "vertex_subgraph_purchases": of_subgraphs(G4, lambda s: s.vertex_subgraph),
+    "subgraph_stats_purchases": of_subgraphs(G4, lambda s: s.subgraphs),
+    "remote_vertices_purchases": of_subgraphs(G4, access.remote_owners),
+    "meta_graph_purchases": of_subgraphs(G4, lambda s: s.meta_edges),
+    "connected_components_purchases": of_subgraphs(G4, analytics.connected_components),
+    "label_propagation_purchases": of_subgraphs(G4, analytics.label_propagation),
+    "graph_stats_purchases": of_subgraphs(G4, analytics.graph_stats),
+    "shortest_paths_purchases": of_graph(G4, lambda g: analytics.shortest_paths(g, _smallest_vertex(g))),
+    "vertex_values": of_graph(G3, _vertex_values),
+    "edge_values": of_graph(G3, _edge_values),
+    "remote_vertex_values": of_subgraphs(G4, _remote_values),
+    "disjoint_set_members": of_graph(G4, lambda g: _all_sets(g).members(_smallest_vertex(g))),
+    "disjoint_sets_count": of_graph(G4, lambda g: _all_sets(g).count()),
+    "program_initial_input": of_subgraphs(G1, lambda s: program.run_program(s, _scaled_sizes, initial=7, max_supersteps=2)[0].select("subgraph_id", F.col("value").cast("long").alias("value"))),
 }
 
 # -- SQL
@@ -185,6 +248,9 @@ pairs AS (
   SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y USING (l_orderkey)
   WHERE x.l_partkey < y.l_partkey
 ),
+e AS (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT b, a FROM pairs),""",
+    4: """
+pairs AS (SELECT DISTINCT o_custkey::BIGINT AS a, 10000000000 + o_orderkey::BIGINT AS b FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL),
 e AS (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT b, a FROM pairs),""",
     3: """
 steps AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events),
@@ -349,4 +415,20 @@ UNION ALL SELECT subgraph_id, 2, 0, 'SG_END' FROM stats""",
     "read_json_map": _sql(3, "SELECT src, dst, p AS partition_id, edge_id, 'e' || edge_id AS edge_name, 'v' || src AS vertex_name, 'v' AS vertex_kind FROM ei"),
     "read_edgelist": _sql(3, _EDGES_BACK),
     "read_tables": _sql(3, _EDGES_BACK),
+    "read_not_split": _sql(3, _EDGES_BACK),
+    "read_own_format": _sql(3, _EDGES_BACK),
+    "vertex_subgraph_purchases": _sql(4, "SELECT * FROM vs", _SUBGRAPHS),
+    "subgraph_stats_purchases": _sql(4, "SELECT * FROM stats", _SUBGRAPHS),
+    "remote_vertices_purchases": _sql(4, "SELECT sg AS subgraph_id, dst AS vertex_id, dsg AS owner_subgraph_id, (dsg >> 32)::INTEGER AS owner_partition_id FROM rem", _SUBGRAPHS),
+    "meta_graph_purchases": _sql(4, "SELECT s AS src_sg, t AS dst_sg, n AS n_remote FROM meta", _SUBGRAPHS),
+    "connected_components_purchases": _sql(4, "SELECT vertex_id, label AS component FROM vs JOIN wcc ON wcc.id = subgraph_id", _SUBGRAPHS, _COMPONENTS),
+    "label_propagation_purchases": _sql(4, "SELECT id AS subgraph_id, label FROM lab", _SUBGRAPHS, _LABELS),
+    "graph_stats_purchases": _sql(4, "SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM stats) AS n_subgraphs, (SELECT max(d) + 1 FROM reach)::BIGINT AS meta_diameter", _SUBGRAPHS, _DISTANCES),
+    "shortest_paths_purchases": _sql(4, "SELECT h.id AS vertex_id, h.d AS distance, coalesce((SELECT min(q.id) FROM hop q JOIN e ON e.src = q.id WHERE e.dst = h.id AND q.d = h.d - 1), -1)::BIGINT AS parent FROM hop h", _PATHS),
+    "vertex_values": _sql(3, "SELECT id AS vertex_id, CASE WHEN n > 10 THEN -n ELSE n END AS value FROM v LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY src) ON src = id"),
+    "edge_values": _sql(3, "SELECT edge_id, greatest(src - dst, 0) AS value FROM ei"),
+    "remote_vertex_values": _sql(4, "SELECT sg AS subgraph_id, dst AS vertex_id, n AS value FROM rem LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY src) q ON q.src = dst", _SUBGRAPHS),
+    "disjoint_set_members": _sql(4, "SELECT id AS element FROM st WHERE root = (SELECT min(id) FROM v)", _set_sql("true")),
+    "disjoint_sets_count": _sql(4, "SELECT count(DISTINCT root) AS n_sets FROM st", _set_sql("true")),
+    "program_initial_input": _sql(1, "SELECT subgraph_id, 7 * n_local AS value FROM stats", _SUBGRAPHS),
 }

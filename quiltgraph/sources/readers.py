@@ -26,15 +26,15 @@ MODES = ("failfast", "permissive")
 Parser = Callable[[DataFrame], DataFrame]
 
 
-def read_graph(spark: SparkSession, path: str | list[str], format: str | Parser = "adj", mode: str = "failfast", undeclared: str = "add", partitions: int = 1) -> Graph:
+def read_graph(spark: SparkSession, path: str | list[str], format: str | Parser = "adj", mode: str = "failfast", undeclared: str = "add", partitions: int = 1, split: bool = True) -> Graph:
     """A graph from files. Blank lines are skipped; a malformed line is an error (failfast) or left out (permissive; see
     ``bad_rows``). A vertex on several lines has the edges of all of them. ``partitions`` is for edge lists only: a
-    vertex is in the partition of its id modulo that number."""
+    vertex is in the partition of its id modulo that number. Without ``split``, one task parses all lines of a file."""
     if not callable(format) and format not in FORMATS or mode not in MODES:
         raise ValueError(f"format is one of {', '.join(FORMATS)}; mode one of {', '.join(MODES)}")
     if format == "tables":
         return build_graph(spark.read.parquet(f"{path}/vertices.parquet"), spark.read.parquet(f"{path}/edges.parquet"), undeclared)
-    rows = parse(spark, path, format)
+    rows = parse(spark, path, format, split)
     if mode == "failfast":
         rows = rows.withColumn("src", F.when(F.col("bad"), F.raise_error(F.concat(F.lit("malformed line: "), F.col("line"))).cast("bigint")).otherwise(F.col("src")))
     else:
@@ -54,10 +54,12 @@ def bad_rows(spark: SparkSession, path: str | list[str], format: str | Parser) -
     return parse(spark, path, format).where("bad").select("line")
 
 
-def parse(spark: SparkSession, path: str | list[str], format: str | Parser) -> DataFrame:
+def parse(spark: SparkSession, path: str | list[str], format: str | Parser, split: bool = True) -> DataFrame:
     """(line, bad, src, partition_id, value if any, out: array of edges) of each line that isn't blank."""
     text = spark.read.text(path)
     lines = text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+    if not split:
+        lines = lines.repartition("file")
     if format in ("adj_by_file", "json_map"):
         lines = lines.join(F.broadcast(_file_numbers(text)), "file")
     if callable(format):

@@ -36,6 +36,12 @@ def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
     return _graph(_symmetric(a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()))
 
 
+def purchases(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers with their orders; both directions. Many small components, each in several partitions."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("long").alias("src"), (F.col("o_orderkey").cast("long") + 10_000_000_000).alias("dst"))
+    return _graph(_symmetric(orders.where("src is not null and dst is not null").distinct()))
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> Graph:
     """From each event's user to the next event's, in order of time; directed, without loops and repeats.
 
