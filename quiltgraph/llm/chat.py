@@ -52,7 +52,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     counted within the turn. A part of another or no type is text, a null text empty, null parts no
     part, a missing unit count one. Turns are ordered by turn (null first), then role, then parts; a null
     role is an empty role; the null conversation id is a conversation; repeated rows are turns of their
-    own. Other columns are ignored. The rows of one conversation meet in one task, as its string does.
+    own. Other columns are ignored; an empty table gives an empty result. The rows of one conversation meet in one task, as
+    its string does, so its texts, each of any length, must together fit a string (2 GB). What an assistant says in several
+    parts is learnt as it is written: the separators and placeholders between its own parts are under the loss mask.
     """
     p = F.coalesce(F.col("parts"), F.array().cast(PARTS))
     held = turns.select(

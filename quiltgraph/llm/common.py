@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,12 @@ def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, count: str, to
     return held.select(*left.columns, *[F.col("_value")[c].alias(c) for c in values])
 
 
+def few_at_once(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of an Arrow column as Python objects, of which few are held at once."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

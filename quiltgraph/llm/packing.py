@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quiltgraph.llm.common import few_at_once
+
 CAPACITY = 1024
 #: Tokens of leftovers that are packed at once; bounds a task's memory and costs no padding.
 BLOCK_TOKENS = 4_000_000
@@ -236,7 +238,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens_of(tokenizer_path)
-        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = (row for b in batches for row in zip(few_at_once(b.column(0)), few_at_once(b.column(1)), strict=True))
         out: list[tuple] = []
         first = TaskContext.get().partitionId() << PARTITION_SHIFT
         for piece in pack_partition(rows, encode, capacity, block_tokens, first, in_order):

@@ -205,7 +205,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> RuleModel:
     """Fits to the rows of docs that labels (id_col, label_col) marks 0 or 1, at most ``max_train`` of them;
-    which of them doesn't depend on how the tables are dealt out. Only the text is looked at."""
+    which of them doesn't depend on how the tables are dealt out. Only the text is looked at; a null one is empty, and a
+    long one is looked at whole. An id with several labels, or several texts, counts once for each pair, so conflicting
+    labels pull either way. Without any labelled row the model is a constant of 0.5, and with one kind of label a
+    constant near it; null ids have no label; other columns are ignored."""
     marked = labels.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
     total = marked.count()
     if total > max_train:  # what can't be among the smallest hashes goes first, so that no task sorts all labels

@@ -18,6 +18,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from quiltgraph.llm.common import few_at_once
+
 #: In this order where spans start together.
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -123,7 +125,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for b in batches:
-            spans = [[dict(zip(("kind", "start", "end", "value_start", "novelty"), s, strict=True)) for s in scan_text(t, novelty)] if t else [] for t in b.column(1).to_pylist()]
+            spans = [[dict(zip(("kind", "start", "end", "value_start", "novelty"), s, strict=True)) for s in scan_text(t, novelty)] if t else [] for t in few_at_once(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(_SPAN))], ["doc_id", "spans"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id long, spans array<{SPAN}>")
@@ -148,7 +150,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for b in batches:
-            texts = [redact(t, s, mask) if t and (s := scan_text(t, novelty)) else t for t in b.column(at).to_pylist()]
+            texts = [redact(t, s, mask) if t and (s := scan_text(t, novelty)) else t for t in few_at_once(b.column(at))]
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 

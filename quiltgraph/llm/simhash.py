@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import ASCII_LOWER, materialise, skew_safe_lookup
+from quiltgraph.llm.common import ASCII_LOWER, few_at_once, materialise, skew_safe_lookup
 from quiltgraph.operators.components import contract
 
 TAU = 3
@@ -66,7 +66,7 @@ def simhash_documents(docs: DataFrame, key, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.fromiter((simhash(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            prints = np.fromiter((simhash(t) for t in few_at_once(b.column(1))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["key", "fingerprint"])
 
     own = docs.select(key.alias("key"), docs[text_col].cast("string").alias("text"))
