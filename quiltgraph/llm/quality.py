@@ -27,11 +27,12 @@ Rule = tuple[tuple[str, str, float], ...]  # (statistic, "<=" or ">", cut) of ea
 
 
 def statistics() -> dict[str, Column]:
-    """Statistics by name, as functions of the columns _text, _words, _lines and _n that ``with_statistics``
+    """Statistics by name, as functions of the columns _words, _lines, _n, _others and _marks that ``with_statistics``
     makes; all are finite for any text."""
     n, size = F.greatest(F.col("_n"), F.lit(1)), F.greatest(F.size("_words"), F.lit(1))
-    without = lambda chars: F.col("_n") - F.char_length(F.translate("_text", chars, ""))
-    one = lambda c: F.col("_n") - F.char_length(F.replace(F.col("_text"), F.lit(c)))
+    # characters are counted by taking them out, among those that are neither lower-case nor blank: a small part of most texts
+    count = lambda chars: F.char_length("_marks") - F.char_length(F.regexp_replace("_marks", f"[{chars}]+", ""))
+    one = lambda c: F.char_length("_marks") - F.char_length(F.replace(F.col("_marks"), F.lit(c)))
     w = F.col("_words")
     return {
         "log_chars": F.log1p(F.col("_n")),
@@ -39,13 +40,13 @@ def statistics() -> dict[str, Column]:
         "word_length": n / size,
         "exclamations": one("!") / size,
         "bars": one("|") / size,
-        "symbols": without("#$%&*@~^+=_<>{}[]\\/") / n,
-        "digits": without("0123456789") / n,
-        "upper": F.regexp_count("_text", F.lit(r"\p{Lu}")) / n,
-        "lower_ascii": without("abcdefghijklmnopqrstuvwxyz") / n,
+        "symbols": count(r"#$%&*@~^+=_<>{}\[\]\\/") / n,
+        "digits": count("0-9") / n,
+        "upper": count(r"\p{Lu}") / n,
+        "lower_ascii": (F.col("_n") - F.char_length("_others")) / n,
         "stops": one(".") / size,
         "commas": one(",") / size,
-        "quotes": without("\"'`:;?()") / n,
+        "quotes": count("\"'`:;?()") / n,
         "lines": F.size("_lines") / size,
         "distinct_lines": F.size(F.array_distinct("_lines")) / F.greatest(F.size("_lines"), F.lit(1)),
         "distinct_words": F.size(F.array_distinct("_words")) / size,
@@ -61,7 +62,8 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     empty."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     held = docs.select(F.struct("*").alias("_row"), text.alias("_text"))
-    held = held.withColumns({"_words": words(F.col("_text")), "_lines": F.split("_text", "\n"), "_n": F.char_length("_text")})
+    held = held.withColumns({"_words": words(F.col("_text")), "_lines": F.split("_text", "\n"), "_n": F.char_length("_text"), "_others": F.regexp_replace("_text", "[a-z]+", "")})
+    held = held.withColumn("_marks", F.regexp_replace("_others", r"\s+", ""))
     return held.select("_row", *[c.cast("double").alias(f"_stat_{k}") for k, c in statistics().items()])
 
 
