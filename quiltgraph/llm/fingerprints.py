@@ -19,6 +19,8 @@ from quiltgraph.llm.common import ascii_lower, words
 
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
+#: Probes that an empty bin makes one after the other; after them, all filled bins are looked at at once.
+PROBES = 4
 #: Words of a shingle.
 WORDS = 5
 #: Chance that two stored values agree without being equal.
@@ -65,17 +67,27 @@ def fingerprint(text: Column) -> Column:
         return F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, i - 1))))
 
     def digits(h: Column) -> Column:
-        def of(filled: Column) -> Column:
-            def at(b: Column) -> Column:
-                first = F.array_min(F.transform(filled, lambda x: F.pmod(F.get(inverses, b) * (x - F.get(offsets, b)), F.lit(BINS))))
-                donor = F.pmod(F.get(factors, b) * first + F.get(offsets, b), F.lit(BINS))
-                own = F.array_position(filled, b)
-                place = F.when(own > 0, own).otherwise(F.array_position(filled, donor))
-                return F.substr(F.lit("0123456789abcdef"), F.get(h, (place - 1).cast("int")).bitwiseAND(F.lit(15)).cast("int") + 1, F.lit(1))
+        """The digits of sorted values h, one a bin: they are written with a blank for each empty bin, which then looks for its donor."""
+        place = lambda x: bin_of(x).bitwiseXOR(F.lit(BINS // 2))  # noqa: E731  # longs sort the upper half of the bins first
 
-            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), at), "")
+        def written(x: Column, i: Column) -> Column:
+            gap = place(x) - F.when(i == 0, F.lit(-1)).otherwise(place(F.get(h, i - 1))) - 1
+            return F.concat(F.repeat(F.lit(" "), gap), F.substr(F.lit("0123456789abcdef"), x.bitwiseAND(F.lit(15)).cast("int") + 1, F.lit(1)))
 
-        return let(F.transform(h, bin_of), of)
+        half = F.lit(BINS // 2)
+        turned = F.rpad(F.array_join(F.transform(h, written), ""), F.lit(BINS), F.lit(" "))
+        return let(F.concat(F.substr(turned, half + 1, half), F.substr(turned, F.lit(1), half)), lambda held: F.when(F.instr(held, " ") == 0, held).otherwise(let(F.transform(h, bin_of), lambda filled: densified(held, filled))))
+
+    def densified(held: Column, filled: Column) -> Column:
+        digit_at = lambda b: F.substr(held, b + 1, F.lit(1))
+        probe = lambda b, j: F.pmod(F.get(factors, b) * j + F.get(offsets, b), F.lit(BINS))
+
+        def at(own: Column, b: Column) -> Column:
+            early = [F.nullif(digit_at(probe(b, F.lit(j))), F.lit(" ")) for j in range(PROBES)]
+            first = F.array_min(F.transform(filled, lambda x: F.pmod(F.get(inverses, b) * (x - F.get(offsets, b)), F.lit(BINS))))
+            return F.when(own != " ", own).otherwise(F.coalesce(*early, digit_at(probe(b, first))))
+
+        return F.array_join(F.transform(F.split(held, ""), at), "")
 
     def whole(w: Column) -> Column:
         made = let(F.transform(w, lambda x: F.xxhash64(x)), lambda x: let(F.sort_array(hashes(x)), lambda y: let(smallest(y), digits)))
@@ -88,7 +100,7 @@ def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity, 0 to 1, of the shingle sets of two fingerprints: the share of equal
     digits without those equal by chance. Two texts without words are alike (1), one with words and one
     without are not (0); null if one is null."""
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(BINS)), F.lit(0), lambda n, i: n + F.when(F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1)), 1).otherwise(0))
+    same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     plain = F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - CHANCE) / (1 - CHANCE))
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).when(a.isNotNull() & b.isNotNull(), plain)
 
