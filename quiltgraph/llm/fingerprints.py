@@ -126,7 +126,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, made: dict[str, Colum
     Rows are dealt to buckets that hold a range of ids each, cut at quantiles, and the first row of each
     bucket is added to the end of the one before it; so one shuffle moves every row once, and no task
     sorts more than a bucket. Ids are compared as longs; only the place of the cuts is approximate. Columns are made
-    after the few rows that are added have been found, once a row.
+    after that shuffle, once a row.
     """
     spark = docs.sparkSession
     wanted = min(MAX_BUCKETS, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -142,7 +142,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, made: dict[str, Colum
     firsts = firsts.select(F.col("_bucket").alias("_own"), "_first", F.coalesce("_to", "_last").alias("_to"))
     guests = held.join(F.broadcast(firsts), (F.col("_bucket") == F.col("_own")) & (place == F.col("_first")))
     guests = guests.groupBy("_to").agg(F.min(text_col).alias(text_col)).select(F.lit(None).cast("long").alias(id_col), text_col, F.col("_to").alias("_bucket"), F.lit(1).alias("_guest"))
-    every = held.select(id_col, text_col, "_bucket", F.lit(0).alias("_guest")).unionByName(guests).withColumns(made)
+    every = held.select(id_col, text_col, "_bucket", F.lit(0).alias("_guest")).unionByName(guests)
+    # made once rows lie by bucket, which is how the window wants them: work is as even as buckets, however few files there are
+    every = every.repartition("_bucket").withColumns(made)
     by_id = Window.partitionBy("_bucket").orderBy("_guest", F.col(id_col).asc_nulls_first(), text_col)
     return every.withColumn("next", F.lead(F.struct(text_col, *made)).over(by_id)).where("_guest = 0").drop("_guest", "_bucket")
 
