@@ -17,7 +17,7 @@ from quiltgraph.llm.mixing import mix_sources
 from quiltgraph.llm.packing import pack_documents
 from quiltgraph.llm.quality import score_quality, train_quality
 from quiltgraph.llm.queries import default_tokenizer
-from quiltgraph.llm.resemblance import similar_groups
+from quiltgraph.llm.resemblance import SHINGLE, similar_groups
 from quiltgraph.llm.secrets import redact_secrets
 from quiltgraph.llm.simhash import keep_one
 
@@ -26,6 +26,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents with a lower score go.
 QUALITY = 0.5
 
+#: Bits of 64 in which fingerprints of candidates for near duplicates may differ.
+NEAR_BITS = 7
+
 #: Tokens that are packed at once; within them, sequences follow the schedule only about.
 ORDERED_TOKENS = 1 << 20
 
@@ -39,8 +42,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of documents with a five-word Jaccard similarity of 0.8 or more the one with the
-    smallest id (null last). Null texts and those without words are alike."""
-    return keep_one(docs.select(*COLUMNS), grouped=similar_groups)
+    smallest id (null last). Null texts and those without words are alike. SimHash finds candidates within NEAR_BITS
+    bits; the exact check adds those that 64 bits can't tell, and compares whole texts."""
+    return keep_one(docs.select(*COLUMNS), tau=NEAR_BITS, shingle=SHINGLE, check=similar_groups)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash finds candidates, sets decide.
+"""Exact check of near-duplicates by the Jaccard similarity of word shingles: candidates come in, sets decide.
 
 Documents whose sets of distinct shingles are at least THRESHOLD similar are linked, and linked documents form
-components. Texts with the same set are one class, so exact copies cost nothing here. Classes that share a band of
-MinHash values are candidates; a component of candidates is compared by whole sets, so nothing below the threshold
-is linked. A pair at exactly 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1.3e-7, a more similar one with
-less.
+components. Texts with the same set are one class, so exact copies cost nothing here. Classes of one group that a search
+before has found (SimHash's, in the pipeline) are candidates, and so that no pair is lost which the search's bits can't
+tell, classes that share a band of MinHash values are too; a component of candidates is compared by whole sets, so nothing
+below the threshold is linked. A pair at exactly 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1.3e-7, a more
+similar one with less.
 
 A component meets in one task as long as its sets have no more than BLOCK shingles in all; a larger one is cut into
 blocks of that size, and every two blocks meet in a task, so that no pair is lost and no task holds more than two.
@@ -26,6 +27,8 @@ from quiltgraph.operators.components import contract
 SHINGLE = 5
 #: Similarity from which documents are near-duplicates, as a fraction.
 THRESHOLD = (4, 5)
+#: Smallest set that can be similar to another one: of 4 shingles, to one of 5.
+LEAST = 4
 BANDS, ROWS = 40, 5
 SEED = 42
 #: Shingles that are compared in one task, about; a set that is larger is a block of its own.
@@ -151,17 +154,22 @@ def verify(found: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
 
 
-def candidate_components(classes: DataFrame) -> DataFrame:
-    """(digest, candidate): classes that share a band with another, and the smallest of their component."""
-    expanded = classes.select("digest", "bands").mapInArrow(expand, "value long, digest long, via long")
+def candidate_components(classes: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(digest, candidate): classes that share a band with another, and the smallest of their component. more: rows of
+    further bands."""
+    rows = classes.select("digest", "bands")
+    if more is not None:
+        rows = rows.unionByName(more.select("digest", "bands"))
+    expanded = rows.mapInArrow(expand, "value long, digest long, via long")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = expanded.repartition(parts, "value").sortWithinPartitions("value", "digest").mapInArrow(link, "u long, v long")
     roots = contract(links)
     return roots.unionByName(roots.select(F.col("v").alias("u"), "v")).distinct().select(F.col("u").alias("digest"), F.col("v").alias("candidate"))
 
 
-def similar_groups(docs: DataFrame, key, text_col: str = "text") -> DataFrame:
-    """(key, digest, group) of every row: group is the smallest key of its component. Texts without words, null ones too,
+def similar_groups(docs: DataFrame, key, text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """(key, digest, group) of every row: group is the smallest key of its component. found has (key, group) of candidates;
+    the first row of a class stands for it there. Texts without words, null ones too,
     are alike; repeated rows are kept; other columns are ignored; an empty table gives an empty result; texts are
     compared whole."""
     own = docs.select(key.alias("key"), docs[text_col].cast("string").alias("text"))
@@ -170,7 +178,12 @@ def similar_groups(docs: DataFrame, key, text_col: str = "text") -> DataFrame:
     total = prints.count()
     classes = prints.groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = materialise(classes, "sketch-classes")
-    candidates = candidate_components(classes)
+    more = None
+    if found is not None:
+        first = classes.where(F.col("size") >= LEAST).select("digest", F.col("least").alias("key"))
+        # a group is one more band that its classes share
+        more = first.join(found.select("key", "group").distinct(), "key").select("digest", F.array(F.xxhash64("group")).alias("bands"))
+    candidates = candidate_components(classes, more)
     wanted = materialise(classes.select("digest", F.col("least").alias("key"), "size").join(candidates, "digest"), "candidates")
     blocks = wanted.groupBy("candidate").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
     # a row for each block that one's own meets; a component of one block meets itself

@@ -42,15 +42,15 @@ HEAVY = 20_000
 BITS = np.arange(64, dtype=np.uint64)
 
 
-def simhash(text: str | None) -> int:
-    """64 bits as an unsigned integer; zero for a text without words."""
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits of the shingles of so many words, as an unsigned integer; zero for a text without words."""
     # bytes.split() parts at the blank and the bytes 9 to 13
     own = (text or "").translate(ASCII_LOWER).encode("utf-8", "surrogatepass").split()
     if not own:
         return 0
-    if len(own) < SHINGLE:
+    if len(own) < shingle:
         own = [b" ".join(own)]
-    width = min(SHINGLE, len(own))
+    width = min(shingle, len(own))
     digest, total, counts = xxhash.xxh64_intdigest, len(own) - width + 1, np.zeros(64, np.int64)
     for i in range(0, total, 1 << 16):  # a long text's shingles aren't all held at once
         n = min(1 << 16, total - i)
@@ -61,12 +61,12 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def simhash_documents(docs: DataFrame, key, text_col: str = "text") -> DataFrame:
+def simhash_documents(docs: DataFrame, key, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(key, fingerprint) of every row; key is a column expression, fingerprint the bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.fromiter((simhash(t) for t in few_at_once(b.column(1))), np.uint64, b.num_rows)
+            prints = np.fromiter((simhash(t, shingle) for t in few_at_once(b.column(1))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["key", "fingerprint"])
 
     own = docs.select(key.alias("key"), docs[text_col].cast("string").alias("text"))
@@ -305,10 +305,10 @@ def _links(held: list[tuple[np.ndarray, ...]], tau: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 65_536]), pa.array(v[i : i + 65_536])], ["u", "v"])
 
 
-def near_groups(docs: DataFrame, key, text_col: str = "text", tau: int = TAU) -> DataFrame:
+def near_groups(docs: DataFrame, key, text_col: str = "text", tau: int = TAU, shingle: int = SHINGLE) -> DataFrame:
     """(key, fingerprint, group) of every row: group is the smallest key of its component (null keys don't
     count, unless the component has no other). Texts without words have fingerprint zero and link like any other."""
-    prints = materialise(simhash_documents(docs, key, text_col), "simhash")
+    prints = materialise(simhash_documents(docs, key, text_col, shingle), "simhash")
     total = prints.count()
     classes = materialise(prints.groupBy("fingerprint").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     roots = contract(near_links(classes.select(F.col("fingerprint").alias("f")), tau))
@@ -326,13 +326,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("group").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, grouped: Callable[..., DataFrame] | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, shingle: int = SHINGLE, check: Callable[..., DataFrame] | None = None) -> DataFrame:
     """The rows of docs that come first in their component: by id (null last), then by a hash of all columns.
-    Rows that are equal in all columns count as one. Columns stay as they are. Components are those of
-    grouped(docs, key, text_col), by default near_groups within tau bits."""
+    Rows that are equal in all columns count as one. Columns stay as they are. Components are those of near_groups;
+    check(docs, key, text_col, groups), if given, gets them as candidates and returns (key, group) by the texts."""
     number = docs[id_col].cast("long")
     key = F.struct(number.isNull().alias("none"), number.alias("id"), F.xxhash64(*docs.columns).alias("hash"))
-    groups = grouped(docs, key, text_col) if grouped else near_groups(docs, key, text_col, tau)
+    groups = near_groups(docs, key, text_col, tau, shingle)
+    if check:
+        groups = check(docs, key, text_col, groups)
     own = {"_none": "none", "_id": "id", "_hash": "hash"}
     kept = groups.where(F.col("key").eqNullSafe(F.col("group"))).select(*[F.coalesce(F.col("key")[v], F.lit(0).cast("long") if v == "id" else F.col("key")[v]).alias(k) for k, v in own.items()]).distinct()
     marked = docs.select(F.struct("*").alias("_row"), number.isNull().alias("_none"), F.coalesce(number, F.lit(0)).alias("_id"), F.xxhash64(*docs.columns).alias("_hash"))
