@@ -34,11 +34,18 @@ def vertex_counts(s: Subgraphs) -> DataFrame:
 
 def subgraph_edges(s: Subgraphs) -> DataFrame:
     """Out-edges of local vertices, repeated ones kept."""
+    if s.graph.neighbours is not None:
+        return s.graph.edges_of(s.vertex_subgraph.select("vertex_id", "subgraph_id").join(s.graph.first_edges.drop("n"), "vertex_id"))
     home = s.vertex_subgraph.select(F.col("vertex_id").alias("src"), "subgraph_id")
     return s.graph.numbered_edges.join(home, "src").select("subgraph_id", "edge_id", "src", "dst")
 
 
 def edge_by_id(s: Subgraphs, edge_id: int) -> DataFrame:
+    if s.graph.neighbours is not None:
+        rank = F.lit(edge_id & 0xFFFFFFFF)
+        source = s.graph.first_edges.where((F.col("partition_id") == edge_id >> 32) & (F.col("first") <= rank) & (rank < F.col("first") + F.col("n"))).drop("n")
+        source = s.vertex_subgraph.select("vertex_id", "subgraph_id").join(F.broadcast(source), "vertex_id")
+        return s.graph.edges_of(F.broadcast(source)).where(F.col("edge_id") == edge_id)
     return subgraph_edges(s).where(F.col("edge_id") == edge_id)
 
 
