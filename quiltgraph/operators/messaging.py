@@ -39,6 +39,11 @@ def send_batch(batches: DataFrame, payloads: str) -> DataFrame:
     return batches.withColumn(payloads, F.explode(payloads))
 
 
+def fold(messages: DataFrame, **figures: Column) -> DataFrame:
+    """What each receiver has after folding its messages: (dst_sg, figures). Senders' tasks fold first, and no inbox is gathered."""
+    return messages.groupBy("dst_sg").agg(*[c.alias(k) for k, c in figures.items()])
+
+
 def inbox(messages: DataFrame) -> DataFrame:
     """(dst_sg, messages): what each receiver gets, as an array of structs in a fixed order."""
     rest = [c for c in messages.columns if c != "dst_sg"]
