@@ -61,7 +61,10 @@ def subgraph_lines(s: Subgraphs) -> DataFrame:
     near = s.meta_edges.groupBy(F.col("src_sg").alias("subgraph_id")).agg(F.sort_array(F.collect_list("dst_sg")).alias("near"))
     pair = lambda x: F.concat_ws("\t", x.cast("string"), F.shiftright(x, 32).cast("string"))
     head = s.subgraphs.join(near, "subgraph_id", "left").select("subgraph_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.concat_ws("\t", F.col("subgraph_id").cast("string"), F.col("partition_id").cast("string"), F.transform("near", pair)).alias("value"))
-    sinks = s.graph.edges.groupBy(F.col("src").alias("vertex_id")).agg(F.transform(F.sort_array(F.collect_list("dst")), lambda x: x.cast("string")).alias("sinks"))
+    sinks = s.graph.neighbours
+    if sinks is None:
+        sinks = s.graph.edges.groupBy(F.col("src").alias("vertex_id")).agg(F.sort_array(F.collect_list("dst")).alias("sinks"))
+    sinks = sinks.select("vertex_id", F.transform("sinks", lambda x: x.cast("string")).alias("sinks"))
     body = s.vertex_subgraph.join(sinks, "vertex_id", "left").select("subgraph_id", F.lit(1).alias("kind"), F.col("vertex_id").alias("at"), F.concat_ws("\t", F.col("vertex_id").cast("string"), F.lit("0"), "sinks").alias("value"))
     end = s.subgraphs.select("subgraph_id", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("at"), F.lit("SG_END").alias("value"))
     return head.unionByName(body).unionByName(end)

@@ -123,3 +123,9 @@ def test_sums_before(spark):
         want[g, x] = at.get(g, 0)
         at[g] = want[g, x] + w
     assert first == want
+
+
+def test_lines_gather_no_edges(spark):
+    """Vertices' sinks come from their rows, not from edges gathered again."""
+    lines = writers.subgraph_lines(form_subgraphs(tables.copurchase(spark, SF)))
+    assert "collect_list(dst#" not in lines._jdf.queryExecution().optimizedPlan().toString()
